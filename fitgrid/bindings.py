@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgrid.schemas import RAW_TABLES, axis_array
+from fitgrid.sources.tables import spread
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -313,11 +314,11 @@ class Domain:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.raw("documents")
+        return spread(self.raw("documents"), "doc_id")
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.raw("pages")
+        return spread(self.raw("pages"), "page_id")
 
     @cached_property
     def posting_fragments(self) -> DataFrame:
@@ -349,7 +350,7 @@ class Domain:
         cells = F.array(*[
             F.struct(F.lit(pos).alias("position"), F.lit(section).alias("section"),
                      text.alias("text")) for pos, section, text in texts])
-        return (self.raw("part").select(key.alias("document_id"), F.inline(cells))
+        return (spread(self.raw("part"), "p_partkey").select(key.alias("document_id"), F.inline(cells))
                 .where(F.col("text").isNotNull()))
 
     @cached_property

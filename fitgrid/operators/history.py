@@ -99,23 +99,27 @@ def analysis_history(
     users without a cursor get their first page.
     """
     latest = latest_match_per_job(matches).withColumnRenamed("created_at", "analyzed_at")
-    keys = latest.select("match_result_id", "profile_version_id", "evaluation_id")
-    counts = axis_status_counts(compare_axes(keys, profile_axis_values, evaluated_axis_values))
-    stale = stale_flags(latest, sources, constraints, conditions, fresh_after).select(
-        "match_result_id", "stale_conditions")
     roles = target_roles.groupBy("profile_version_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("role_order", "role_text"))),
                     lambda r: r["role_text"]).alias("target_roles"))
+    # Everything keyed by the profile joins first, then what is keyed by the
+    # evaluation, then the posting: three moves of the match rows in all.
     rows = (
-        latest.join(counts, "match_result_id").join(stale, "match_result_id")
-        .join(profile_versions.select("profile_version_id", F.col("version").alias("profile_version")),
-              "profile_version_id")
-        .join(roles, "profile_version_id", "left")
-        .where(JUDGEMENTS[judgement]())
-        .withColumn("sort_count", SORTS[sort]().cast("bigint"))
+        latest.join(profile_versions.select("profile_version_id", F.col("version").alias("profile_version")),
+                    "profile_version_id")
+        .join(roles, "profile_version_id", "left").join(constraints, "profile_version_id")
     )
     if role is not None:
         rows = rows.where(F.array_contains("target_roles", role))
+    compared = compare_axes(rows, profile_axis_values, evaluated_axis_values)
+    counted = axis_status_counts(compared, *rows.drop("match_result_id").columns).where(JUDGEMENTS[judgement]())
+    stale_condition = F.coalesce(salary_result()["reason"] == "stale_information", F.lit(False))
+    rows = (
+        counted.join(source_freshness(sources, fresh_after), "evaluation_id", "left")
+        .join(conditions, "job_posting_id", "left")
+        .withColumn("stale_conditions", stale_condition | F.coalesce("is_stale", F.lit(False)))
+        .withColumn("sort_count", SORTS[sort]().cast("bigint"))
+    )
     place = ["sort_count", "analyzed_at", "match_result_id"]
     if after is not None:
         cursor = after.select("user_id", F.struct(*place).alias("cursor"))

@@ -74,8 +74,16 @@ def compare_axes(
     return opened.select("*", verdict.alias("verdict")).select("*", "verdict.*").drop("verdict")
 
 
-def axis_status_counts(comparisons: DataFrame) -> DataFrame:
-    return comparisons.groupBy("match_result_id").agg(*status_counts(F.col("comparison_status")))
+def axis_status_counts(comparisons: DataFrame, *carried: str) -> DataFrame:
+    """Counts per match, with columns that belong to the match carried along.
+
+    The keys of the joins that made the comparisons are grouping keys too, so
+    the rows are where they must be and the counting needs no shuffle of its own.
+    """
+    keys = [k for k in ("profile_version_id", "evaluation_id") if k in comparisons.columns and k not in carried]
+    counted = comparisons.groupBy("match_result_id", *keys, *carried).agg(
+        *status_counts(F.col("comparison_status")))
+    return counted.drop(*keys)
 
 
 def version_compatibility(pairs: DataFrame, evaluated_axis_values: DataFrame) -> DataFrame:
@@ -171,14 +179,12 @@ def match_summary(
     constraints: DataFrame, conditions: DataFrame,
 ) -> DataFrame:
     """Per match: status counts over the eight axes and whether a hard constraint is unmet."""
-    counts = axis_status_counts(compare_axes(
-        matches.select("match_result_id", "profile_version_id", "evaluation_id"),
-        profile_axis_values, evaluated_axis_values))
-    conflict = constraint_inputs(matches, constraints, conditions).select(
-        "match_result_id",
-        F.exists(F.array(salary_result(), location_result(), remote_result()),
-                 lambda r: r["status"] == "unmet").alias("has_hard_conflict"))
-    return counts.join(conflict, "match_result_id")
+    conflict = F.exists(F.array(salary_result(), location_result(), remote_result()),
+                        lambda r: r["status"] == "unmet")
+    judged = constraint_inputs(matches, constraints, conditions).select(
+        "match_result_id", "profile_version_id", "evaluation_id", conflict.alias("has_hard_conflict"))
+    return axis_status_counts(
+        compare_axes(judged, profile_axis_values, evaluated_axis_values), "has_hard_conflict")
 
 
 # Company reference, batches, snapshots -------------------------------------------------------

@@ -27,11 +27,13 @@ _PHONE = r"'\+?[0-9][0-9 ()-]{8,}[0-9]'"
       union all select source, 'bearer', len(regexp_extract_all(t2, {_BEARER})) from c
       union all select source, 'phone', len(regexp_extract_all(t3, {_PHONE})) from c) z group by 1, 2""")
 def redact_text(d: Domain):
-    return (
-        d.documents.select("source", F.inline(T.redaction_hits(F.col("text"))))
-        .groupBy("source", "kind")
-        .agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("documents"))
-    )
+    kinds = [kind for kind, _, _ in T.REDACTIONS]
+    per_source = T.redacted_step_by_step(d.documents, "text").groupBy("source").agg(*[
+        agg for k in kinds for agg in (
+            F.sum(f"hits_{k}").alias(f"hits_{k}"), F.count_if(F.col(f"hits_{k}") > 0).alias(f"documents_{k}"))])
+    return per_source.select("source", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(f"hits_{k}").alias("hits"), F.col(f"documents_{k}").alias("documents"))
+        for k in kinds])))
 
 
 @query("redacted_documents", f"""
@@ -39,8 +41,8 @@ def redact_text(d: Domain):
       {_EMAIL}, '[email]', 'g'), {_SECRET}, '[secret]', 'g'), {_BEARER}, '[secret]', 'g'), {_PHONE}, '[phone]', 'g')) as text_hash
     from documents""")
 def redacted_documents(d: Domain):
-    return d.documents.select(
-        F.col("doc_id").alias("document_id"), F.sha2(T.redact(F.col("text")), 256).alias("text_hash"))
+    return T.redacted_step_by_step(d.documents, "text").select(
+        F.col("doc_id").alias("document_id"), F.sha2("redacted", 256).alias("text_hash"))
 
 
 @query("content_duplicates", r"""

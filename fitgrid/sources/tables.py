@@ -22,3 +22,13 @@ def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def load_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     return {name: load_table(spark, directory, name) for name in RAW_TABLES}
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """A stored table for work that costs far more than moving its rows.
+
+    A table read in fewer pieces than there are cores is spread by its unique
+    key; a large table already comes in many pieces and is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, *keys) if table.rdd.getNumPartitions() < cores else table
