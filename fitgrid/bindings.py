@@ -115,11 +115,11 @@ class Domain:
     @cached_property
     def job_postings(self) -> DataFrame:
         # The company of a posting is the part key folded onto the supplier keys.
-        n = self.raw("supplier").agg(F.count("*").alias("n_companies"))
+        n = self.raw("supplier").agg(F.count("*")).scalar()
         key = F.col("p_partkey")
-        return self.raw("part").crossJoin(F.broadcast(n)).select(
+        return self.raw("part").select(
             key.alias("job_posting_id"),
-            (key % F.col("n_companies")).alias("company_id"),
+            (key % n).alias("company_id"),
             F.concat_ws(" ", "p_name", "p_type").alias("title"),
             F.concat(F.lit("https://jobs.example.com/p/"), key.cast("string"),
                      F.lit("?utm_source=x")).alias("url"),

@@ -206,9 +206,9 @@ def discovery_decisions(
 
 def _discovery_starts(requests, starts, active, held, user_limit, own, cap) -> DataFrame:
     """Starts of one slice; ``starts`` holds at most ``cap`` rows per earlier slice in reach."""
-    known = starts.agg(F.collect_list(F.struct("us", "user_id", "query_key")).alias("s"))
+    known = starts.agg(F.collect_list(F.struct("us", "user_id", "query_key"))).scalar()
     us = F.col("us")
-    rows = requests.join(F.broadcast(known)).where(~F.exists(
+    rows = requests.withColumn("s", known).where(~F.exists(
         "s", lambda x: (x["query_key"] == F.col("query_key")) & (x["us"] >= us - held))
     ).select(
         "us", "event_id", "user_id", "query_key",

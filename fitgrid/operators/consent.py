@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitgrid.functions.axes import tenths
 from fitgrid.operators.keyed import newest, split_lag, top_per_key
 
 
@@ -33,10 +34,10 @@ def consent_status(users: DataFrame, decisions: DataFrame, policies: DataFrame,
     latest = latest_decisions(decisions, at).select(
         "purpose", "user_id", "action", F.col("policy_id").alias("decided_policy"), "recorded_at")
     granted = (F.col("action") == "granted") & (F.col("decided_policy") == F.col("policy_id"))
-    # One row per purpose: the purposes are a short reference list, users stay where they are.
-    purposes = current_policies(policies, at).select("purpose", "policy_id", "version")
-    listed = purposes.agg(F.collect_list(F.struct("purpose", "policy_id", "version")).alias("p"))
-    every = users.join(F.broadcast(listed)).select("user_id", F.inline("p"))
+    # One entry per purpose: the purposes are a short reference list, users stay where they are.
+    listed = current_policies(policies, at).agg(
+        F.collect_list(F.struct("purpose", "policy_id", "version"))).scalar()
+    every = users.select("user_id", listed.alias("p")).select("user_id", F.inline("p"))
     return every.join(latest, ["purpose", "user_id"], "left").select(
         "user_id", "purpose", "version", F.coalesce(granted, F.lit(False)).alias("granted"), "recorded_at")
 
@@ -48,7 +49,7 @@ def consent_changes(decisions: DataFrame) -> DataFrame:
     "not granted", so the previous decision alone tells whether a row counts.
     """
     steps = split_lag(
-        decisions.withColumn("day", F.col("recorded_at").cast("date")), ["purpose", "user_id"], "day",
+        decisions.withColumn("hour", F.date_trunc("hour", "recorded_at")), ["purpose", "user_id"], "hour",
         ["recorded_at", "event_id"], ["action", "policy_id"])
     was_granted = F.coalesce(F.col("previous_action") == "granted", F.lit(False))
     repeats = was_granted & (F.col("previous_policy_id") == F.col("policy_id"))
@@ -58,14 +59,13 @@ def consent_changes(decisions: DataFrame) -> DataFrame:
 
 def consent_rate(consented: DataFrame, policies: DataFrame, users: DataFrame, at: Column) -> DataFrame:
     """Consented and total users per current purpose, percent to one place."""
-    from fitgrid.functions.axes import tenths
     agreed = consented.groupBy("purpose").agg(F.count("*").alias("n"))
-    total = users.agg(F.count("*").alias("total_users"))
+    total = users.agg(F.count("*")).scalar()
     n = F.coalesce("n", F.lit(0))
     return (
-        current_policies(policies, at).join(agreed, "purpose", "left").join(F.broadcast(total))
-        .select("purpose", "version", n.alias("consented_users"), "total_users",
-                tenths(n * 100, F.col("total_users")).alias("consent_percent"))
+        current_policies(policies, at).join(agreed, "purpose", "left")
+        .select("purpose", "version", n.alias("consented_users"), total.alias("total_users"))
+        .withColumn("consent_percent", tenths(F.col("consented_users") * 100, F.col("total_users")))
     )
 
 
@@ -84,10 +84,10 @@ def legal_status(users: DataFrame, documents: DataFrame, acknowledgements: DataF
     current = current_documents(documents, at).select(
         "document_type", "document_id", required_action(F.col("document_type")).alias("action"))
     done = acknowledgements.where(F.col("recorded_at") <= at).join(
-        F.broadcast(current), ["document_id", "action"], "left_semi"
+        current, ["document_id", "action"], "left_semi"
     ).groupBy("user_id", "document_id").agg(F.min("recorded_at").alias("acted_at"))
-    listed = current.agg(F.collect_list(F.struct("document_type", "document_id")).alias("d"))
-    every = users.join(F.broadcast(listed)).select("user_id", F.inline("d"))
+    listed = current.agg(F.collect_list(F.struct("document_type", "document_id"))).scalar()
+    every = users.select("user_id", listed.alias("d")).select("user_id", F.inline("d"))
     return every.join(done, ["user_id", "document_id"], "left")
 
 

@@ -323,8 +323,8 @@ def typed_conditions(payloads: DataFrame, prefectures: DataFrame) -> DataFrame:
         pick("fullRemote", "status").alias("remote_status"), pick("fullRemote", "value").alias("remote"),
         pick("employmentType", "value").alias("employment_type"))
     names = F.map_from_entries(F.collect_list(F.struct("prefecture_name", "prefecture_code")))
-    codes = prefectures.agg(names.alias("codes"))
-    return rows.join(F.broadcast(codes)).select(
+    codes = prefectures.agg(names).scalar()  # 47 fixed entries
+    return rows.withColumn("codes", codes).select(
         "document_id", "salary_status",
         F.split_part("salary", F.lit("-"), F.lit(1)).try_cast("bigint").alias("salary_minimum"),
         F.split_part("salary", F.lit("-"), F.lit(2)).try_cast("bigint").alias("salary_maximum"),

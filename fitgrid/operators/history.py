@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitgrid.functions.axes import status_counts
-from fitgrid.operators.keyed import newest, top_per_key
+from fitgrid.operators.keyed import newest, split_lag, top_per_key
 from fitgrid.operators.matching import (
     axis_status_counts, compare_axes, constraint_inputs, latest_evaluations, salary_result,
 )
@@ -26,10 +26,9 @@ def profile_revisions(profile_versions: DataFrame, profile_axis_values: DataFram
     The step is taken on version rows; the eight answers join afterwards, so a
     user with very many versions never gathers eight times as many rows.
     """
-    from fitgrid.operators.keyed import split_lag
     done = profile_versions.where("status = 'completed'").withColumn(
-        "year", F.year("created_at"))
-    steps = split_lag(done, ["user_id"], "year", ["version"], ["profile_version_id"]) \
+        "month", F.date_trunc("month", "created_at"))
+    steps = split_lag(done, ["user_id"], "month", ["version"], ["profile_version_id"]) \
         .where("previous_profile_version_id is not null") \
         .select("user_id", "profile_version_id", "previous_profile_version_id")
     before = profile_axis_values.select(

@@ -15,12 +15,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_SALT_ABOVE, _SALTS = 100, 32
+
+
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
     rank: str | None = None,
 ) -> DataFrame:
-    """First ``k`` rows per key in the given order; ``rank`` keeps the position column."""
+    """First ``k`` rows per key in the given order; ``rank`` keeps the position column.
+
+    Every map task sends at most ``k`` rows of a key on. For a large ``k`` a hot
+    key would still bring together ``k`` rows of very many tasks, so there the
+    key is first cut down in salted parts.
+    """
     name = rank or "__position"
+    if k > _SALT_ABOVE:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS))
+        salted = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        df = (df.withColumn("__salt", part).withColumn("__n", F.row_number().over(salted))
+              .where(F.col("__n") <= k).drop("__salt", "__n"))
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
     return ranked if rank else ranked.drop(name)

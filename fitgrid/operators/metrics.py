@@ -68,9 +68,10 @@ def outcome_counts(events: DataFrame, outcomes: Sequence[str]) -> DataFrame:
 
 def tokens_per_call(messages: DataFrame) -> DataFrame:
     """Tokens per direction over the number of answered calls."""
-    calls = messages.agg(F.count_if(F.col("direction") == "output").alias("calls"))
-    return messages.groupBy("direction").agg(F.sum("tokens").alias("tokens")).join(
-        F.broadcast(calls)).withColumn("per_call", F.round(F.try_divide("tokens", "calls"), 6))
+    calls = messages.agg(F.count_if(F.col("direction") == "output")).scalar()
+    return messages.groupBy("direction").agg(F.sum("tokens").alias("tokens")).select(
+        "direction", "tokens", calls.alias("calls")
+    ).withColumn("per_call", F.round(F.try_divide("tokens", "calls"), 6))
 
 
 def alert_holds(samples: DataFrame, step_seconds: int, hold_seconds: int) -> DataFrame:

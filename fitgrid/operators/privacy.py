@@ -107,10 +107,9 @@ def erase_users(tables: Mapping[str, DataFrame], lineage: Mapping[str, tuple[str
 def erasure_report(tables: Mapping[str, DataFrame], left: Mapping[str, DataFrame]) -> DataFrame:
     report = None
     for name, rows in left.items():
-        before = tables[name].agg(F.count("*").alias("before_rows"))
-        after = rows.agg(F.count("*").alias("after_rows"))
-        line = before.join(F.broadcast(after)).select(
-            F.lit(name).alias("table_name"), (F.col("before_rows") - F.col("after_rows")).alias("removed_rows"),
-            F.col("after_rows").alias("kept_rows"))
+        after = rows.agg(F.count("*")).scalar()
+        line = tables[name].agg(F.count("*").alias("before_rows")).select(
+            F.lit(name).alias("table_name"), "before_rows", after.alias("kept_rows")
+        ).select("table_name", (F.col("before_rows") - F.col("kept_rows")).alias("removed_rows"), "kept_rows")
         report = line if report is None else report.unionByName(line)
     return report

@@ -50,5 +50,5 @@ def live_consent(updates: DataFrame, current_policies: DataFrame) -> DataFrame:
         F.max(F.struct("ts", "event_id", "policy_id", "action")).alias("latest"))
     granted = newest.where("latest.action = 'granted'").select(
         "purpose", "user_id", F.col("latest.policy_id").alias("policy_id"))
-    return granted.join(F.broadcast(current_policies.select("purpose", "policy_id")), ["purpose", "policy_id"]) \
+    return granted.join(current_policies.select("purpose", "policy_id"), ["purpose", "policy_id"]) \
         .select("purpose", "user_id")
