@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fitgrid.functions.companies import bare_company, employment_fit, nfkc, role_terms, same_company
 from fitgrid.operators.keyed import top_per_key
+from fitgrid.session import checkpointed
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -46,7 +47,7 @@ def same_company_pairs(companies: DataFrame) -> DataFrame:
     by very many companies stays one row.
     """
     named = companies.select(bare_company(nfkc("company_name")).alias("name")).where("name <> ''")
-    counts = named.groupBy("name").agg(F.count("*").alias("companies"))
+    counts = checkpointed(named.groupBy("name").agg(F.count("*").alias("companies")))
     pairs = contained_names(
         counts.select(F.col("name").alias("inner")), counts.select(F.col("name").alias("outer")))
     return (

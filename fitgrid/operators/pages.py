@@ -13,6 +13,7 @@ from fitgrid.functions import urls as U
 from fitgrid.functions.companies import bare_company, nfkc, same_company
 from fitgrid.functions.text import squeezed
 from fitgrid.operators.keyed import split_lag, split_row_number
+from fitgrid.session import checkpointed
 
 MIN_JOB_CHARACTERS = 100
 
@@ -39,9 +40,9 @@ def trim_related(fragments: DataFrame) -> DataFrame:
     marker = F.regexp_instr("text", F.lit(_RELATED)) - 1
     offset = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
     marked = fragments.where("scope = 'job'").withColumn("marker", marker).withColumn("offset", offset)
-    cuts = marked.where((F.col("marker") >= 0) & (F.col("offset") + F.col("marker") >= MIN_JOB_CHARACTERS)) \
-        .groupBy("page_id").agg(F.min(F.struct("position", "marker")).alias("cut"))
-    kept = fragments.where("scope = 'job'").join(cuts, "page_id", "left").where(
+    ends = (F.col("marker") >= 0) & (F.col("offset") + F.col("marker") >= MIN_JOB_CHARACTERS)
+    first = F.min(F.when(ends, F.struct("position", "marker"))).over(Window.partitionBy("page_id"))
+    kept = marked.withColumn("cut", first).where(
         F.col("cut").isNull() | (F.col("position") <= F.col("cut.position")))
     text = F.when(F.col("position") == F.col("cut.position"),
                   F.trim(F.expr("substring(text, 1, cut.marker)"))).otherwise(F.col("text"))
@@ -64,7 +65,9 @@ def page_texts(fragments: DataFrame) -> DataFrame:
 
 def page_snapshots(pages: DataFrame, texts: DataFrame, bucket: int = 4096) -> DataFrame:
     """Version number per url and a changed flag against the version before, in page order."""
-    rows = pages.select("page_id", "url").join(texts.select("page_id", "content_hash", "sufficient"), "page_id") \
+    # Hashes are read several times below; the pages behind them are parsed once.
+    hashes = checkpointed(texts.select("page_id", "content_hash", "sufficient"))
+    rows = pages.select("page_id", "url").join(hashes, "page_id") \
         .withColumn("bucket", F.floor(F.col("page_id") / bucket))
     numbered = split_row_number(rows, ["url"], "bucket", ["page_id"], "version")
     stepped = split_lag(numbered, ["url"], "bucket", ["page_id"], ["content_hash"])

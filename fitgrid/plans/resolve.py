@@ -9,6 +9,7 @@ from fitgrid.functions.companies import employment_fit
 from fitgrid.operators import candidates, ingest
 from fitgrid.plans.registry import query
 from fitgrid.plans.twins import twin
+from fitgrid.session import checkpointed
 
 
 def employment_facts(d: Domain):
@@ -136,7 +137,7 @@ def candidate_selector(d: Domain):
         from ranked r join valid v using (query_id)) z group by 1) s using (query_id)""",
     extra=_RANKED + ", " + _SELECTIONS))
 def resolution_decision(d: Domain):
-    ranked = rank_candidates(d)
+    ranked = checkpointed(rank_candidates(d))
     return candidates.decide_resolutions(
         d.company_queries, ranked, candidates.valid_selections(selections(d), ranked))
 

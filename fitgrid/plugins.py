@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitgrid.session import checkpointed
+
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 SCORES = "document_id bigint, axis_key string, position int, choice string, weight double"
 
@@ -42,7 +44,8 @@ def score_axes(fragments: DataFrame, scorer: Scorer = keyword_scorer) -> tuple[D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield scorer(batch)
-    scored = fragments.select("document_id", "position", "text").mapInPandas(run, SCORES)
+    # Scoring is the costly part and its result is read three times, so it is kept.
+    scored = checkpointed(fragments.select("document_id", "position", "text").mapInPandas(run, SCORES))
     per_choice = scored.groupBy("document_id", "axis_key", "choice").agg(F.sum("weight").alias("w"))
     totals = per_choice.groupBy("document_id", "axis_key").agg(F.sum("w").alias("total"))
     choices = per_choice.join(totals, ["document_id", "axis_key"]).select(
