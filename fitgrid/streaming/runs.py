@@ -21,12 +21,8 @@ def event_stream(spark: SparkSession, directory: str, name: str = "events") -> D
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything stored now, exactly once, and read the table it wrote.
-
-    State and output live in the shared folder, so a lost executor only repeats
-    its own tasks. Outside append mode every batch owns one folder that a retry overwrites.
-    """
+def _run(stream: DataFrame, label: str, mode: str):
+    """The finished query and the table it wrote."""
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession, label)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
@@ -39,4 +35,22 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
         query = writer.foreachBatch(write).start()
     query.awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("batch_id", "long")
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    return query, spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Run a stream over everything stored now, exactly once, and read the table it wrote.
+
+    State and output live in the shared folder, so a lost executor only repeats
+    its own tasks. Outside append mode every batch owns one folder that a retry overwrites.
+    """
+    return _run(stream, label, mode)[1]
+
+
+def run_and_count_dropped(stream: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``run_to_table``, with the number of rows that came behind the watermark."""
+    query, table = _run(stream, label, "append")
+    dropped = sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for operator in progress["stateOperators"])
+    return table, dropped

@@ -17,11 +17,6 @@ def windowed_metrics(requests: DataFrame, size: str = "1 hour", slide: str | Non
     ).select(F.col("w.start").alias("window_start"), "route", "requests", "errors", "duration_ms")
 
 
-def late_events(requests: DataFrame, boundary) -> DataFrame:
-    """Rows behind a boundary; counted beside the metrics, since windows drop them silently."""
-    return requests.observe("late", F.count_if(F.col("ts") < boundary).alias("late_rows"))
-
-
 def abuse_counts(events: DataFrame) -> DataFrame:
     """Events per day and type over a seven-day state."""
     return events.withWatermark("ts", "7 days").groupBy(
