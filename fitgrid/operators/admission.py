@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from fitgrid.operators.keyed import top_per_key
 from fitgrid.session import checkpointed, scratch_path
 
-_ENTRY = "array<struct<us:bigint,event_id:bigint,item:bigint>>"
 FOLD_BOUND = 2048
 
 
@@ -25,28 +24,41 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _fold(sorted_events: Column, limit: int, window_us: int) -> Column:
+def _types(df: DataFrame, *columns: str) -> dict[str, str]:
+    """Column types by name; ids may be numbers or texts."""
+    return {c: df.schema[c].dataType.simpleString() for c in columns}
+
+
+def _ddl(types: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in types.items())
+
+
+def _no_entries(types: dict[str, str]) -> Column:
+    """An empty array of structs with these fields."""
+    return F.array().cast(f"array<struct<{','.join(f'{name}:{kind}' for name, kind in types.items())}>>")
+
+
+def _fold(sorted_events: Column, entry: dict[str, str], limit: int, window_us: int) -> Column:
     """Admitted entries of one key; the last ``limit`` of them are all that can still count."""
     def step(admitted: Column, e: Column) -> Column:
         recent = F.filter(
             F.slice(admitted, F.greatest(F.size(admitted) - limit + 1, F.lit(1)), limit),
             lambda x: x["us"] >= e["us"] - window_us)
         admit = (F.size(recent) < limit) & ~F.exists(recent, lambda x: x["item"] == e["item"])
-        entry = F.array(F.struct(e["us"].alias("us"), e["event_id"].alias("event_id"), e["item"].alias("item")))
-        return F.when(admit, F.concat(admitted, entry)).otherwise(admitted)
-    return F.aggregate(sorted_events, F.array().cast(_ENTRY), step)
+        return F.when(admit, F.concat(admitted, F.array(e))).otherwise(admitted)
+    return F.aggregate(sorted_events, _no_entries(entry), step)
 
 
 def _admit_light(events: DataFrame, limit: int, window_us: int) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("us", "event_id", "item")))
     return events.groupBy("key").agg(order.alias("e")).select(
-        "key", F.inline(_fold(F.col("e"), limit, window_us)))
+        "key", F.inline(_fold(F.col("e"), _types(events, "us", "event_id", "item"), limit, window_us)))
 
 
 def _admit_slice(events: DataFrame, before: DataFrame, limit: int, window_us: int) -> DataFrame:
     """Admissions of one slice, given those of the slice before (at most ``limit`` per key)."""
     state = before.groupBy("key").agg(F.collect_list(F.struct("us", "item")).alias("slots"))
-    live = F.filter(F.coalesce("slots", F.array().cast("array<struct<us:bigint,item:bigint>>")),
+    live = F.filter(F.coalesce("slots", _no_entries(_types(events, "us", "item"))),
                     lambda x: x["us"] >= F.col("us") - window_us)
     open_ = (
         events.join(state, "key", "left").withColumn("live", live)
@@ -65,13 +77,13 @@ def _admit_slice(events: DataFrame, before: DataFrame, limit: int, window_us: in
         return F.when(admit, F.concat(admitted, entry)).otherwise(admitted)
     order = F.array_sort(F.collect_list(F.struct("us", "event_id", "item", "used")))
     return few.groupBy("key").agg(order.alias("e")).select(
-        "key", F.inline(F.aggregate("e", F.array().cast(_ENTRY), step)))
+        "key", F.inline(F.aggregate("e", _no_entries(_types(events, "us", "event_id", "item")), step)))
 
 
 def _admit_heavy(events: DataFrame, limit: int, window_us: int) -> DataFrame:
     """One round per slice that holds requests; every round reads its own partition only."""
     spark, path = events.sparkSession, scratch_path(events.sparkSession, "admission")
-    schema = "key bigint, us bigint, event_id bigint, item bigint"
+    schema = _ddl(_types(events, "key", "us", "event_id", "item"))
     events.select("key", "us", "event_id", "item", F.expr(f"us div {window_us}").alias("slice")) \
         .write.partitionBy("slice").parquet(f"{path}/requests")
     stored = spark.read.schema(schema + ", slice bigint").parquet(f"{path}/requests")
@@ -102,8 +114,8 @@ def rolling_admissions(
     """
     window_us = window_seconds * 1_000_000
     events = requests.select(
-        F.col(key).cast("bigint").alias("key"), _micros(F.col("ts")).alias("us"), "event_id",
-        (F.col(item) if item else F.col("event_id")).cast("bigint").alias("item"))
+        F.col(key).alias("key"), _micros(F.col("ts")).alias("us"), "event_id",
+        F.col(item or "event_id").alias("item"))
     sizes = events.groupBy("key").agg(F.count("*").alias("n"))
     heavy = checkpointed(sizes.where(F.col("n") > fold_bound).select("key"))
     if heavy.isEmpty():
@@ -166,7 +178,7 @@ def daily_cost(reserved: DataFrame) -> DataFrame:
 
 # Shared discoveries --------------------------------------------------------------------------
 
-_STARTS = "us bigint, event_id bigint, user_id bigint, query_key bigint"
+_START = ("us", "event_id", "user_id", "query_key")
 
 
 def discovery_decisions(
@@ -186,21 +198,22 @@ def discovery_decisions(
     spark, path = requests.sparkSession, scratch_path(requests.sparkSession, "discovery")
     active, fresh, own = (n * 1_000_000 for n in (active_seconds, fresh_seconds, user_seconds))
     held = active + fresh
-    requests.select("user_id", "query_key", _micros(F.col("ts")).alias("us"), "event_id") \
-        .withColumn("slice", F.expr(f"us div {active}")).write.partitionBy("slice").parquet(f"{path}/requests")
-    stored = spark.read.schema(_STARTS + ", slice bigint").parquet(f"{path}/requests")
+    asked = requests.select(_micros(F.col("ts")).alias("us"), "event_id", "user_id", "query_key")
+    schema = _ddl(_types(asked, *_START))
+    asked.withColumn("slice", F.expr(f"us div {active}")).write.partitionBy("slice").parquet(f"{path}/requests")
+    stored = spark.read.schema(schema + ", slice bigint").parquet(f"{path}/requests")
     slices = [r[0] for r in stored.select("slice").distinct().orderBy("slice").toLocalIterator()]
     reach = max(held, own) // active + 1
     done: list[int] = []
     for number in slices:
         recent = [n for n in done if n >= number - reach]
-        starts = (spark.read.schema(_STARTS).parquet(*[f"{path}/starts/slice={n}" for n in recent])
-                  if recent else spark.createDataFrame([], _STARTS))
+        starts = (spark.read.schema(schema).parquet(*[f"{path}/starts/slice={n}" for n in recent])
+                  if recent else spark.createDataFrame([], schema))
         here = stored.where(F.col("slice") == number).drop("slice")
         _discovery_starts(here, starts, active, held, user_limit, own, cap) \
             .write.parquet(f"{path}/starts/slice={number}")
         done.append(number)
-    starts = spark.read.schema(_STARTS).parquet(f"{path}/starts").select(*[c.split()[0] for c in _STARTS.split(", ")])
+    starts = spark.read.schema(schema).parquet(f"{path}/starts").select(*_START)
     return _discovery_outcomes(stored.drop("slice"), starts, active, held, user_limit, own)
 
 
@@ -221,13 +234,13 @@ def _discovery_starts(requests, starts, active, held, user_limit, own, cap) -> D
     rows = top_per_key(rows, ["query_key", "mine", "running"], in_time, cap + 1)
     rows = top_per_key(rows, ["running", "mine"], in_time, 2 * cap * (cap + 1) + cap + 1)
     order = F.array_sort(F.collect_list(F.struct("us", "event_id", "user_id", "query_key", "mine", "running")))
-    empty = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':') for c in _STARTS.split(', '))}>>")
+    empty = _no_entries(_types(requests, *_START))
 
     def step(new: Column, e: Column) -> Column:
         mine = e["mine"] + F.size(F.filter(new, lambda x: x["user_id"] == e["user_id"]))
         start = ((e["running"] + F.size(new) < cap) & (mine < user_limit)
                  & ~F.exists(new, lambda x: x["query_key"] == e["query_key"]))
-        entry = F.struct(*[e[c.split()[0]].alias(c.split()[0]) for c in _STARTS.split(", ")])
+        entry = F.struct(*[e[c].alias(c) for c in _START])
         return F.when(start, F.concat(new, F.array(entry))).otherwise(new)
     return rows.agg(order.alias("e")).select(F.inline(F.aggregate("e", empty, step)))
 

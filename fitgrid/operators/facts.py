@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fitgrid.functions import text as T
 from fitgrid.operators.keyed import top_per_key
 from fitgrid.schemas import axis_array
+from fitgrid.session import checkpointed
 
 Registry = Mapping[str, Callable[[Column], Column]]
 
@@ -165,9 +166,10 @@ def field_with_fallback(fragments: DataFrame, kind: str, parse: Callable[[Column
     """
     def read(texts: DataFrame) -> DataFrame:
         return reduce_facts(fact_values(texts, {kind: parse}))
-    single = read(fragments)
+    # Facts are one short row per document and are read twice below, texts are not read again for them.
+    single = checkpointed(read(fragments))
     open_1 = fragments.join(single.select("document_id"), "document_id", "left_anti")
-    grouped = read(section_groups(open_1))
+    grouped = checkpointed(read(section_groups(open_1)))
     open_2 = open_1.join(grouped.select("document_id"), "document_id", "left_anti")
     whole = read(_joined(open_2, "document_id"))
     return (

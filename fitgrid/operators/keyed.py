@@ -4,7 +4,7 @@
   to the bound before the shuffle (``WindowGroupLimit``).
 * ``split_*`` functions cut a key's history at a bucket (a day, say): the work
   inside a bucket runs in its own task, and only one row per bucket is carried
-  over the key.
+  over the key. Keys must not be null.
 """
 
 from __future__ import annotations

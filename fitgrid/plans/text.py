@@ -10,6 +10,7 @@ from fitgrid.operators import chunks, facts
 from fitgrid.plans.registry import query
 from fitgrid.plans.twins import twin
 from fitgrid.schemas import prefecture_table
+from fitgrid.session import checkpointed
 
 _EMAIL = r"'(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'"
 _SECRET = r"'\b(?:sk-[A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{20,})\b'"
@@ -318,7 +319,7 @@ def evaluation_quality(d: Domain):
     from (select *, kind = 'location' and status = 'unknown' as filled from all_facts where kind in ('location', 'salary')) z""",
     extra=_ALL_VALUES))
 def located_facts(d: Domain):
-    read = facts.facts_of(d.posting_fragments, ["location", "salary"])
+    read = checkpointed(facts.facts_of(d.posting_fragments, ["location", "salary"]))
     # A locator named the place fragment for every document and the pay fragment for the monthly ones.
     named = d.raw("part").select(
         F.col("p_partkey").alias("document_id"),

@@ -24,11 +24,11 @@ class RollingAdmission(StatefulProcessor):
     State is the list of admitted (time, item), never longer than the limit.
     """
 
-    def __init__(self, limit: int, window_us: int):
-        self.limit, self.window_us = limit, window_us
+    def __init__(self, limit: int, window_us: int, item_type: str):
+        self.limit, self.window_us, self.item_type = limit, window_us, item_type
 
     def init(self, handle) -> None:
-        self.slots = handle.getListState("slots", "us bigint, item bigint")
+        self.slots = handle.getListState("slots", f"us bigint, item {self.item_type}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         slots = [(us, item) for us, item in self.slots.get()]
@@ -124,8 +124,12 @@ class LeaseExpiry(StatefulProcessor):
         pass
 
 
-DECISIONS = "key bigint, event_id bigint, decision string"
-LEASES = "key bigint, at_ms bigint, outcome string, attempts int"
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _decisions(rows: DataFrame) -> str:
+    return f"key {_type(rows, 'key')}, event_id {_type(rows, 'event_id')}, decision string"
 
 
 def _state(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
@@ -136,9 +140,9 @@ def _state(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mo
 
 def admission_stream(requests: DataFrame, key: str, limit: int, window_seconds: int, item: str | None = None) -> DataFrame:
     rows = requests.select(
-        F.col(key).cast("bigint").alias("key"), F.unix_micros("ts").alias("us"), "event_id",
-        F.col(item or "event_id").cast("bigint").alias("item"))
-    return _state(rows, RollingAdmission(limit, window_seconds * 1_000_000), DECISIONS).withColumnRenamed("key", key)
+        F.col(key).alias("key"), F.unix_micros("ts").alias("us"), "event_id", F.col(item or "event_id").alias("item"))
+    processor = RollingAdmission(limit, window_seconds * 1_000_000, _type(rows, "item"))
+    return _state(rows, processor, _decisions(rows)).withColumnRenamed("key", key)
 
 
 def budget_stream(reservations: DataFrame, daily_limit: int) -> DataFrame:
@@ -146,7 +150,7 @@ def budget_stream(reservations: DataFrame, daily_limit: int) -> DataFrame:
     rows = reservations.select(
         F.unix_date(F.to_date("ts")).cast("bigint").alias("key"), F.unix_micros("ts").alias("us"), "event_id",
         F.col("units").cast("bigint").alias("item"))
-    return _state(rows, DailyBudget(daily_limit), DECISIONS).select(
+    return _state(rows, DailyBudget(daily_limit), _decisions(rows)).select(
         F.date_from_unix_date(F.col("key").cast("int")).alias("usage_date"), "event_id",
         (F.col("decision") == "reserved").alias("reserved"))
 
@@ -154,7 +158,8 @@ def budget_stream(reservations: DataFrame, daily_limit: int) -> DataFrame:
 def lease_stream(changes: DataFrame, max_attempts: int, late: str = "10 minutes") -> DataFrame:
     """(job_id, ts, event_id, lease_seconds) → completed, requeued and failed outcomes."""
     rows = changes.withWatermark("ts", late).select(
-        F.col("job_id").cast("bigint").alias("key"), F.unix_micros("ts").alias("us"), "event_id", "ts",
+        F.col("job_id").alias("key"), F.unix_micros("ts").alias("us"), "event_id", "ts",
         F.col("lease_seconds").cast("bigint").alias("item"))
-    return _state(rows, LeaseExpiry(max_attempts), LEASES, "EventTime").select(
+    leases = f"key {_type(rows, 'key')}, at_ms bigint, outcome string, attempts int"
+    return _state(rows, LeaseExpiry(max_attempts), leases, "EventTime").select(
         F.col("key").alias("job_id"), F.timestamp_millis("at_ms").alias("at"), "outcome", "attempts")

@@ -57,6 +57,15 @@ def test_rejected_requests_leave_no_trace(spark):
     assert [r.decision for r in got.orderBy("event_id").collect()] == ["admitted"] * 3 + ["rejected", "admitted"]
 
 
+@pytest.mark.parametrize("fold_bound", [admission.FOLD_BOUND, 0])
+def test_ids_may_be_texts(spark, fold_bound):
+    rows = [(str(i), "u", START + dt.timedelta(hours=i), "x" if i % 2 else "y") for i in range(6)]
+    df = spark.createDataFrame(rows, "event_id string, user_id string, ts timestamp_ntz, item string")
+    got = admission.rolling_admissions(df, "user_id", 1, 7200, item="item", fold_bound=fold_bound)
+    assert [r.decision for r in got.orderBy("event_id").collect()] == [
+        "admitted", "rejected", "repeat", "admitted", "rejected", "repeat"]
+
+
 def test_budget_skips_and_goes_on(spark):
     rng = random.Random(5)
     rows = [(i, START + dt.timedelta(minutes=rng.randrange(4000)), rng.choice([1, 2, 3, 7, 40])) for i in range(600)]
