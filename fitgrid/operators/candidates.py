@@ -121,6 +121,7 @@ def rank_candidates(searches: DataFrame, candidates: DataFrame, limit: int) -> D
         "position", "url", "title", "company_name", "source", "matched_terms", "total_terms")
 
 
+# When a semantic choice is accepted, and how many choices are shown.
 MIN_CONFIDENCE, MAX_RUNNER_UP, SHOWN = 0.8, 0.15, 3
 
 

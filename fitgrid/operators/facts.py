@@ -202,6 +202,7 @@ def shortest_runs(facts: DataFrame, fragments: DataFrame, parse: Callable[[Colum
 
 # Model judgements ----------------------------------------------------------------------------
 
+# What a judgement must reach.
 MIN_CONFIDENCE = MIN_GROUNDING = 0.8
 MIN_EVIDENCE_SHARE = 0.1
 MIN_RANGE_SHARE = 0.15

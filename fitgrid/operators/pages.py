@@ -29,6 +29,7 @@ def page_fragments(pages: DataFrame) -> DataFrame:
         run, "page_id bigint, scope string, position int, text string, locator string, section string")
 
 
+# Headings of lists of other postings.
 _RELATED = (
     r"(?iu)(?:^|\s)(?:関連求人|関連ポジション|その他の求人|その他のポジション|おすすめ求人|おすすめのポジション|"
     r"同じ会社の求人|(?:related|other|similar)\s+(?:jobs|positions|openings))(?:\s|$)")
@@ -147,6 +148,7 @@ def page_postings(pages: DataFrame) -> DataFrame:
 
 # Identity and verification by page evidence ---------------------------------------------------
 
+# Headings, titles, markers and paths that tell postings from other careers pages.
 _LISTING_HEADING = (
     r"(?iu)^(?:採用情報|採用サイト|キャリア採用|中途採用|新卒採用|求人(?:情報|一覧)?|募集(?:職種|要項)?(?:一覧)?|職種一覧|"
     r"ポジション一覧|careers?|jobs?|open (?:positions|roles)|join us|recruit(?:ing|ment)?)$")
