@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +24,39 @@ def event_stream(spark: SparkSession, directory: str, name: str = "events") -> D
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings a stream copies when it starts; the session keeps its own.
+
+    On one machine a state store per core is enough, elsewhere the session's
+    number of shuffle partitions stands.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB}
+    if spark.sparkContext.master.startswith("local"):
+        wanted["spark.sql.shuffle.partitions"] = str(spark.sparkContext.defaultParallelism)
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def _run(stream: DataFrame, label: str, mode: str):
     """The finished query and the table it wrote."""
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession, label)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
         "checkpointLocation", f"{path}/state")
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{path}/rows").start()
-    else:
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
-        query = writer.foreachBatch(write).start()
-    query.awaitTermination()
+    with _state_settings(spark):
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{path}/rows").start()
+        else:
+            def write(batch: DataFrame, batch_id: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+            query = writer.foreachBatch(write).start()
+        query.awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("batch_id", "long")
     return query, spark.read.schema(schema).parquet(f"{path}/rows")
 
