@@ -47,7 +47,7 @@ def main() -> None:
         queries[name](spark, directory).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - started, 3)
 
-    run("daily_active_users")  # the first query pays for starting workers and compiling
+    run("match_summary")  # the first query pays for starting workers and compiling
     seconds = {name: run(name) for name in HEADLINES}
     spark.stop()
     print(json.dumps({

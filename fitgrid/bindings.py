@@ -162,7 +162,7 @@ class Domain:
     def evaluations(self) -> DataFrame:
         order, line = F.col("l_orderkey"), F.col("l_linenumber")
         return (
-            self.raw("lineitem").groupBy("l_orderkey", "l_linenumber")
+            spread(self.raw("lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("job_posting_id"), F.min("l_suppkey").alias("company_id"),
                  F.max("l_shipdate").alias("created_at"))
             .select(
