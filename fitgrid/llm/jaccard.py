@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,62 +21,79 @@ _NOBODY = 65535
 _SLACK = 1e-9
 
 
-def _census(documents: DataFrame, width: int, buckets: int) -> DataFrame:
-    """``doc_id, print, n, n_alone``: set size, and how many of its shingles no other document has.
+def _census(rows: DataFrame, width: int, buckets: int) -> DataFrame:
+    """``doc_id, print, n, n_alone`` of rows ``doc_id, print, text`` or ``doc_id, print, hashes``.
 
-    Each batch of texts sends one packed row per bucket of shingle hashes. A
-    shingle that the batch holds more than once goes without its documents, so
-    even one that every document has takes one entry per batch.
+    That is the size of a set, and how many of its shingles no other row has.
+
+    Each batch of texts sends one packed row per bucket of shingle hashes, with
+    the number of the document in the batch beside each hash. A shingle that the
+    batch holds more than once goes without a number, so even one that every
+    document has takes one entry per batch. Back come counts by batch and
+    document number; the ids wait in a row of their own.
     """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for batch, texts in text_batches(batches):
+        turn = TaskContext.get().partitionId() << 32
+        for batch, values in _value_batches(batches):
             ids, prints = (np.asarray(batch.column(c), np.int64) for c in ("doc_id", "print"))
-            for at in range(0, len(texts), _NOBODY):
-                sets = [shingle_set(t, width) for t in texts[at:at + _NOBODY]]
+            for at in range(0, len(values), _NOBODY):
+                sets = [np.frombuffer(v, np.uint64) if isinstance(v, bytes) else shingle_set(v, width)
+                        for v in values[at:at + _NOBODY]]
                 sizes = np.asarray([len(s) for s in sets], np.int64)
-                hashes = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(sets)), sizes)
-                kinds, first, count = np.unique(hashes, return_index=True, return_counts=True)
+                kinds, first, count = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
                 owner = np.where(count == 1, owner[first], _NOBODY).astype(np.uint16)
-                place = (kinds >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(place.astype(np.int32), kind="stable")
-                cuts = np.searchsorted(place[order], np.arange(buckets + 1).astype(np.uint64))
-                low = kinds.astype(np.uint32)[order]
-                owner = owner[order]
+                place = ((kinds >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((owner, place))
+                cuts = np.searchsorted(place[order], np.arange(buckets + 1))
+                low, owner = kinds.astype(np.uint32)[order], owner[order]
+                made = [(b, turn, low[x:y].tobytes(), owner[x:y].tobytes(), None)
+                        for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
                 head = np.concatenate((ids[at:at + _NOBODY], prints[at:at + _NOBODY], sizes)).tobytes()
-                rows = [(b, low[x:y].tobytes(), owner[x:y].tobytes(), head, b == turn % buckets)
-                        for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x or b == turn % buckets]
+                made.append((turn % buckets, turn, b"", b"", head))
                 turn += 1
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(
-                        zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)],
-                    ["bucket", "hashes", "owners", "head", "lists"])
+                    [pa.array(c, k) for c, k in zip(zip(*made), kinds, strict=True)],
+                    ["bucket", "batch", "hashes", "owners", "head"])
 
     def alone(frame: pd.DataFrame) -> pd.DataFrame:
         hashes = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["hashes"]])
         owners = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["owners"]])
-        lengths = [len(x) // 4 for x in frame["hashes"]]
         _, first, count = np.unique(hashes, return_index=True, return_counts=True)
         single = np.zeros(len(hashes), bool)
         single[first[count == 1]] = True
-        out, at = [], 0
-        for n, head, lists in zip(lengths, frame["head"], frame["lists"], strict=True):
-            part = owners[at:at + n][single[at:at + n]]
-            at += n
-            ids, prints, sizes = np.frombuffer(head, np.int64).reshape(3, -1)
-            hits = np.bincount(part[part != _NOBODY], minlength=len(ids))
-            some = np.flatnonzero((hits > 0) | lists)
-            out.append(pd.DataFrame({"doc_id": ids[some], "print": prints[some], "n_alone": hits[some],
-                                     "n": sizes[some] if lists else 0}))
-        return pd.concat(out, ignore_index=True)
-
-    texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", fingerprint(F.col("text")).alias("print"), "text")
-    rows = texts.mapInArrow(spread, "bucket int, hashes binary, owners binary, head binary, lists boolean")
-    found = rows.groupBy("bucket").applyInPandas(alone, "doc_id long, print long, n_alone long, n long")
+        ends = np.cumsum([len(x) // 4 for x in frame["hashes"]])
+        hits = []
+        for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+            part = owners[begin:end][single[begin:end]]
+            hits.append(np.bincount(part[part != _NOBODY]).astype("<u4").tobytes())
+        return pd.DataFrame({"batch": frame["batch"], "hits": hits, "head": frame["head"]})
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, prints, sizes = np.frombuffer(frame["head"].dropna().iloc[0], np.int64).reshape(3, -1)
+        n_alone = np.zeros(len(ids), np.int64)
+        for x in frame["hits"]:
+            hits = np.frombuffer(x, "<u4")
+            n_alone[:len(hits)] += hits
+        return pd.DataFrame({"doc_id": ids, "print": prints, "n_alone": n_alone, "n": sizes})
+
+    packed = rows.mapInArrow(spread, "bucket int, batch long, hashes binary, owners binary, head binary")
+    hits = packed.groupBy("bucket").applyInPandas(alone, "batch long, hits binary, head binary")
+    found = hits.groupBy("batch").applyInPandas(total, "doc_id long, print long, n_alone long, n long")
     return found.groupBy("doc_id", "print").agg(F.max("n").alias("n"), F.sum("n_alone").alias("n_alone"))
 
 
+def _value_batches(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        if batch.schema.names[-1] == "text":
+            yield from text_batches(iter([batch]))
+        else:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part, part.column("hashes").to_pylist()
+
+
 def _sets(documents: DataFrame, width: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
@@ -140,17 +158,20 @@ def jaccard_components(
 
     1. A document with more than ``(100 - percent)`` percent shingles that no
        other document has cannot link and is done (``_census``).
-    2. Equal sets become one point.
-    3. Pivots create regions: shared min-hash keys propose a pivot, exact
+    2. Equal sets become one point, and points are counted out once more.
+    3. Pivots create regions: of the points that share a min-hash key the one
+       with the smallest share of shingles of its own is their pivot; exact
        distances decide, and a point within r of several joins the nearest. A
        point within r of none is its own pivot. Points of a region are linked
        through their pivot, so no pair inside a region is ever compared.
     4. Linked points share one of the first ``n - ceil(n * percent / 100) + 1``
        hashes of either. Regions of different components that meet under such a
-       hash are compared by their pivots; d(p, q) > R_p + r + R_q rules the whole
-       pair of regions out.
+       hash, and whose counts of common and own shingles allow a link, are
+       compared by their pivots; d(p, q) > R_p + r + R_q rules the whole pair of
+       regions out.
     5. Otherwise windows replicate boundary points: x of p goes to q only if
-       d(p, q) - d(x, p) <= R_q + r, and stays only if the exact d(x, q) <= R_q + r.
+       d(p, q) - d(x, p) <= R_q + r and |p & q| leaves room for that, and stays
+       only if the exact d(x, q) <= R_q + r.
     6. The boundary points of both sides join again, sorted out by
        |d(x, p) - d(y, p)| <= r and |d(x, q) - d(y, q)| <= r before any set is
        read, and exactly after.
@@ -162,10 +183,10 @@ def jaccard_components(
     spark = documents.sparkSession
     r = 1 - percent / 100
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    census = stored(_census(documents, width, buckets), "census")
-    able = census.where((F.col("n") > 0) & (100 * (F.col("n") - F.col("n_alone")) >= percent * F.col("n")))
     texts = documents.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long"), fingerprint(F.col("text")).alias("print"), "text")
+    census = stored(_census(texts, width, buckets), "census")
+    able = census.where((F.col("n") > 0) & (100 * (F.col("n") - F.col("n_alone")) >= percent * F.col("n")))
     points = stored(_sets(texts.join(able.select("doc_id", "print"), ["doc_id", "print"], "left_semi"), width), "sets")
     classes = points.groupBy("digest").agg(F.min("doc_id").alias("id"))
     members = stored(points.select("doc_id", "print", "digest").join(classes, "digest"), "members")
@@ -175,22 +196,33 @@ def jaccard_components(
     numbered = first.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("digest")))
     numbered = stored(numbered.withColumn("point", F.when(F.col("k") == 1, F.col("id")).otherwise(
         F.xxhash64("digest"))), "points")
-    sets = numbered.select(F.col("point").alias("id"), "n", "hashes")
+    again = _census(numbered.select(F.col("point").alias("doc_id"), F.lit(0).cast("long").alias("print"), "hashes"), width, buckets)
+    alone = again.select(F.col("doc_id").alias("id"), "n_alone")
+    sets = stored(numbered.select(F.col("point").alias("id"), "n", "hashes").join(alone, "id").where(
+        100 * (F.col("n") - F.col("n_alone")) >= percent * F.col("n")), "candidates")
     twins = numbered.where("k > 1").select(F.col("id").alias("a"), F.col("point").alias("b"))
 
     # 3. regions
-    keyed = stored(_min_hashes(sets, bands, rows), "keys")
-    leaders = keyed.groupBy("band", "key").agg(F.min("id").alias("b"))
+    keyed = stored(_min_hashes(sets, bands, rows).join(sets.select("id", (F.col("n_alone") / F.col("n")).alias("odd")), "id"), "keys")
+    leaders = keyed.groupBy("band", "key").agg(F.min_by("id", F.struct("odd", "id")).alias("b"))
     proposed = keyed.join(leaders, ["band", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     reach = _distances(proposed, sets, "reach").where(100 * F.col("same") >= percent * F.col("all"))
-    nearest = reach.groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("p"))
-    regions = stored(sets.select("id", "n").join(nearest, F.col("id") == F.col("a"), "left").select(
-        "id", "n", F.coalesce("p.b", "id").alias("region"), F.coalesce("p.d", F.lit(0.0)).alias("d")), "regions")
-    radius = regions.groupBy("region").agg(F.max("d").alias("radius"))
+    nearest = reach.groupBy("a").agg(F.min_by(F.struct("b", "d", "same"), F.struct("d", "b")).alias("p"))
+    regions = stored(sets.select("id", "n", F.col("n_alone").alias("own"), (F.col("n") - F.col("n_alone")).alias("common")).join(
+        nearest, F.col("id") == F.col("a"), "left").select(
+        "id", "own", "common", F.coalesce("p.b", "id").alias("region"), F.coalesce("p.d", F.lit(0.0)).alias("d"),
+        F.coalesce("p.same", F.col("n").cast("long")).alias("with_home")), "regions")
+    ranges = [F.min("own").alias("own"), F.min("common").alias("low"), F.max("common").alias("high")]
+    radius = regions.groupBy("region").agg(F.max("d").alias("radius"), *ranges)
+
+    def may_link(x: str, y: str):
+        """Whether the common and own shingles allow a link: |A & B| <= least common part, |A | B| >= both own parts and the largest common part."""
+        return 100 * F.least(f"{x}.high", f"{y}.high") >= percent * (
+            F.col(f"{x}.own") + F.col(f"{y}.own") + F.greatest(f"{x}.low", f"{y}.low"))
     links = [reach.select("a", "b"), twins]
     parts = connected_components(reach.select("a", "b"), "reach")
     labelled = regions.join(parts.withColumnRenamed("id", "region"), "region", "left").select(
-        "id", "n", "region", "d", F.coalesce("component", "region").alias("component"))
+        "id", "own", "common", "region", F.coalesce("component", "region").alias("component"))
 
     # 4. regions of different components under a common hash
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,37 +233,44 @@ def jaccard_components(
                                 "h": np.concatenate(heads) if heads else np.zeros(0, np.int64)})
 
     under = sets.select("id", "n", "hashes").mapInPandas(prefixes, "id long, h long").join(labelled, "id")
-    under = stored(under.groupBy("h", "region", "component").agg(
-        F.min("n").alias("low"), F.max("n").alias("high")), "under")
+    under = stored(under.groupBy("h", "region", "component").agg(*ranges), "under")
     mixed = under.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     meet = under.join(mixed.select("h"), "h", "left_semi")
     p, q = meet.alias("p"), meet.alias("q")
     near = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.region") < F.col("q.region"))
                   & (F.col("p.component") != F.col("q.component"))
-                  & (100 * F.col("p.high") >= percent * F.col("q.low"))
-                  & (100 * F.col("q.high") >= percent * F.col("p.low"))
-                  ).select(F.col("p.region").alias("a"), F.col("q.region").alias("b")).distinct()
+                  & may_link("p", "q")).select(F.col("p.region").alias("a"), F.col("q.region").alias("b")).distinct()
     between = _distances(near, sets, "pivots")
     links.append(between.where(100 * F.col("same") >= percent * F.col("all")).select("a", "b"))
     close = between.join(radius.select(F.col("region").alias("a"), F.col("radius").alias("ra")), "a").join(
         radius.select(F.col("region").alias("b"), F.col("radius").alias("rb")), "b").where(
-        F.col("d") <= F.col("ra") + F.col("rb") + r + _SLACK).select("a", "b", F.col("d").alias("d_pq"), "ra", "rb")
+        F.col("d") <= F.col("ra") + F.col("rb") + r + _SLACK).select("a", "b", F.col("d").alias("d_pq"), F.col("same").alias("with_other"), "ra", "rb")
     close = stored(close.where("ra > 0 or rb > 0"), "close")
 
     # 5. boundary points
-    sides = close.select(F.col("a").alias("home"), F.col("b").alias("other"), "d_pq", F.col("rb").alias("r_other")).unionByName(
-        close.select(F.col("b").alias("home"), F.col("a").alias("other"), "d_pq", F.col("ra").alias("r_other")))
-    inner = regions.select("id", F.col("region").alias("home"), F.col("d").alias("d_home"))
-    tested = inner.join(sides, "home").where(F.col("d_pq") - F.col("d_home") <= F.col("r_other") + r + _SLACK)
-    moved = _distances(tested.select(F.col("id").alias("a"), F.col("other").alias("b"), "home", "d_home", "r_other"), sets, "moved")
+    sides = close.select(F.col("a").alias("home"), F.col("b").alias("other"), "d_pq", "with_other").unionByName(
+        close.select(F.col("b").alias("home"), F.col("a").alias("other"), "d_pq", "with_other")).join(
+        sets.select(F.col("id").alias("other"), F.col("n").alias("n_q"), (F.col("n") - F.col("n_alone")).alias("c_q")), "other").join(
+        radius.select(F.col("region").alias("other"), F.struct("own", "low", "high", "radius").alias("q")), "other")
+    inner = regions.select("id", F.col("region").alias("home"), F.col("d").alias("d_home"), "with_home", F.struct(
+        "own", F.col("common").alias("low"), F.col("common").alias("high")).alias("x"))
+    # |x & q| is at most |p & q| and what x and q can share besides p
+    most = F.col("with_other") + F.least(F.col("x.low") - F.col("with_home"), F.col("c_q") - F.col("with_other"))
+    least_d = 1 - most / (F.col("x.own") + F.col("x.low") + F.col("n_q") - most)
+    tested = inner.join(sides, "home").where(
+        (F.greatest(F.col("d_pq") - F.col("d_home"), least_d) <= F.col("q.radius") + r + _SLACK) & may_link("x", "q"))
+    moved = _distances(tested.select(
+        F.col("id").alias("a"), F.col("other").alias("b"), "home", "d_home", F.col("q.radius").alias("r_other"),
+        F.col("x.own").alias("own"), F.col("x.low").alias("common")), sets, "moved")
     links.append(moved.where(100 * F.col("same") >= percent * F.col("all")).select("a", "b"))
     edge = moved.where(F.col("d") <= F.col("r_other") + r + _SLACK).select(
-        F.col("a").alias("id"), "home", F.col("b").alias("other"), "d_home", F.col("d").alias("d_other"))
+        F.col("a").alias("id"), "home", F.col("b").alias("other"), "d_home", F.col("d").alias("d_other"), "own",
+        F.col("common").alias("low"), F.col("common").alias("high"))
 
     # 6. both sides again
     x, y = edge.alias("x"), edge.alias("y")
     final = x.join(y, (F.col("x.home") == F.col("y.other")) & (F.col("x.other") == F.col("y.home"))
-                   & (F.col("x.home") < F.col("y.home"))
+                   & (F.col("x.home") < F.col("y.home")) & may_link("x", "y")
                    & (F.abs(F.col("x.d_home") - F.col("y.d_other")) <= r + _SLACK)
                    & (F.abs(F.col("x.d_other") - F.col("y.d_home")) <= r + _SLACK)).select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
