@@ -165,7 +165,8 @@ def jaccard_components(
        point within r of none is its own pivot. Points of a region are linked
        through their pivot, so no pair inside a region is ever compared.
     4. Linked points share one of the first ``n - ceil(n * percent / 100) + 1``
-       hashes of either. Regions of different components that meet under such a
+       hashes of either, in an order that puts hashes of a single point first,
+       so these only shorten the lists. Regions of different components that meet under such a
        hash, and whose counts of common and own shingles allow a link, are
        compared by their pivots; d(p, q) > R_p + r + R_q rules the whole pair of
        regions out.
@@ -224,15 +225,32 @@ def jaccard_components(
     labelled = regions.join(parts.withColumnRenamed("id", "region"), "region", "left").select(
         "id", "own", "common", "region", F.coalesce("component", "region").alias("component"))
 
-    # 4. regions of different components under a common hash
-    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # 4. regions of different components under a common hash; hashes that one point alone has stand first in the order
+    def every_hash(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            heads = [np.frombuffer(x, np.int64, count=n - -(-n * percent // 100) + 1)
-                     for x, n in zip(frame["hashes"], frame["n"], strict=True)]
-            yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), [len(h) for h in heads]),
-                                "h": np.concatenate(heads) if heads else np.zeros(0, np.int64)})
+            lists = [np.frombuffer(x, np.int64) for x in frame["hashes"]]
+            if lists:
+                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), [len(x) for x in lists]),
+                                    "h": np.concatenate(lists)})
+
+    own = sets.select("id", "hashes").mapInPandas(every_hash, "id long, h long").groupBy("h").agg(
+        F.count("*").alias("points"), F.min("id").alias("id")).where("points = 1").groupBy("id").agg(
+        F.collect_list("h").alias("own_hashes"))
 
-    under = sets.select("id", "n", "hashes").mapInPandas(prefixes, "id long, h long").join(labelled, "id")
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            heads = []
+            for data, n, mine in zip(frame["hashes"], frame["n"], frame["own_hashes"], strict=True):
+                mine = np.zeros(0, np.int64) if mine is None else np.asarray(mine, np.int64)
+                shared = np.frombuffer(data, np.int64)
+                shared = shared[~np.isin(shared, mine)] if len(mine) else shared
+                heads.append(shared[:max(0, n - -(-n * percent // 100) + 1 - len(mine))])
+            if heads:
+                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), [len(h) for h in heads]),
+                                    "h": np.concatenate(heads)})
+
+    under = sets.select("id", "n", "hashes").join(own, "id", "left").mapInPandas(
+        prefixes, "id long, h long").join(labelled, "id")
     under = stored(under.groupBy("h", "region", "component").agg(*ranges), "under")
     mixed = under.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     meet = under.join(mixed.select("h"), "h", "left_semi")
