@@ -107,7 +107,7 @@ def abuse_overview(events: DataFrame, since: Column) -> DataFrame:
         "event_type", "events", "users", F.coalesce("n", F.lit(0)).alias("max_users_per_ip_key"))
 
 
-def abuse_users(events: DataFrame, failed_jobs: DataFrame, since: Column, limit: int) -> DataFrame:
+def abuse_users(events: DataFrame, failed_jobs: DataFrame, since: Column) -> DataFrame:
     """Signals per user, widest sharing first.
 
     Events shrink to distinct (user, key) pairs before the key widths join back,
@@ -133,7 +133,6 @@ def abuse_users(events: DataFrame, failed_jobs: DataFrame, since: Column, limit:
         .orderBy(F.desc("max_users_sharing_ip_key"),
                  F.desc(F.col("rate_limited") + F.col("quota_rejections")),
                  F.desc("new_analyses"), "user_id")
-        .limit(min(max(limit, 1), 500))
     )
 
 

@@ -117,9 +117,9 @@ def classify_sitemap(urls: DataFrame, japanese: bool = True, students: bool = Fa
     parent = F.concat(U.origin(url), F.regexp_replace(U.path(url), "[^/]+/?$", ""))
     parents = details.groupBy("site_id", parent.alias("parent")).agg(
         F.min("audience_rank").alias("audience_rank")).where(F.col("parent").rlike(U.POSTING_PATH))
-    present = under.select("site_id", F.regexp_replace("url", "/?$", "/").alias("slashed")).distinct()
+    present = under.select("site_id", F.concat(F.regexp_replace("url", "/$", ""), F.lit("/")).alias("slashed")).distinct()
     listings = (
-        parents.withColumn("slashed", F.regexp_replace("parent", "/?$", "/"))
+        parents.withColumn("slashed", F.concat(F.regexp_replace("parent", "/$", ""), F.lit("/")))
         .join(present, ["site_id", "slashed"], "left_semi")
         .join(details.select("site_id", F.col("url").alias("parent")), ["site_id", "parent"], "left_anti")
     )

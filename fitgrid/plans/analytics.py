@@ -121,10 +121,10 @@ def abuse_overview(d: Domain):
       where ts >= timestamp '{SINCE}' group by 1) k on k.ip_key = a.ip_key
     left join (select user_id as u, count(*) as failed from analysis_jobs where attempts = 4 group by 1) f on f.u = a.user_id
     where ts >= timestamp '{SINCE}' group by 1
-    order by max_users_sharing_ip_key desc, rate_limited + quota_rejections desc, new_analyses desc, user_id limit 100"""))
+    order by max_users_sharing_ip_key desc, rate_limited + quota_rejections desc, new_analyses desc, user_id"""))
 def abuse_user_summary(d: Domain):
     failed = d.analysis_jobs.where("attempts = 4").select("user_id")
-    return analytics.abuse_users(d.abuse_events, failed, ntz(SINCE), 100)
+    return analytics.abuse_users(d.abuse_events, failed, ntz(SINCE))
 
 
 @query("job_backlog", twin("""

@@ -182,13 +182,13 @@ def daily_pseudonyms(d: Domain):
 @query("source_text_retention", """
     select doc_id as document_id, fetched_at, text_hash, text is null as removed from (
       select doc_id, timestamp '2024-01-01' + to_days(cast(doc_id % 60 as int)) as fetched_at, sha256(text) as text_hash,
-        case when doc_id not in (select doc_id from documents where doc_id % 60 <= 20 order by doc_id % 60, doc_id limit 200) then text end as text
+        case when doc_id not in (select doc_id from documents where doc_id % 60 <= 20) then text end as text
       from documents) z""")
 def source_text_retention(d: Domain):
     documents = d.documents.select(
         F.col("doc_id").alias("document_id"), "text", F.sha2("text", 256).alias("text_hash"),
         (ntz("2024-01-01") + F.make_dt_interval((F.col("doc_id") % 60).cast("int"))).alias("fetched_at"))
-    return privacy.retain_texts(documents, ntz("2024-02-20"), 30, limit=200).select(
+    return privacy.retain_texts(documents, ntz("2024-02-20"), 30).select(
         "document_id", "fetched_at", "text_hash", F.col("text").isNull().alias("removed"))
 
 
