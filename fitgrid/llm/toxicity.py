@@ -156,6 +156,7 @@ def fit_tagger(texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, min
     for words, label in zip(np.split(ids, np.cumsum(lengths)[:-1]), labels, strict=True):
         if len(words):
             seen[label, np.unique(np.concatenate([by_word[w] for w in np.unique(words)]))] += 1
+    del by_word, split
     n = np.maximum(1, np.bincount(labels, minlength=2))
     weight_of = np.log((seen[1] + 0.1) / (n[1] + 0.2)) - np.log((seen[0] + 0.1) / (n[0] + 0.2))
     strong = (seen[1] >= min_documents) & (weight_of > 2.5)
