@@ -140,10 +140,14 @@ def fit_tagger(texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, min
     features and neighbours.
     """
     labels = np.asarray(toxic)
-    split = [_TOKEN.findall((t or "").lower()) for t in texts]
     vocabulary: dict[str, int] = {}
-    ids = np.asarray([vocabulary.setdefault(w, len(vocabulary)) for words in split for w in words], np.int64)
-    lengths = np.asarray([len(w) for w in split], np.int64)
+    coded = []
+    for text in texts:  # numbers at once: the words of all texts together would not fit a small driver
+        words = _TOKEN.findall((text or "").lower())
+        coded.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+    lengths = np.asarray([len(c) for c in coded], np.int64)
+    ids = np.concatenate([np.zeros(0, np.int32), *coded])
+    del coded
     features: dict[str, int] = {}
     rows, columns = [], []
     for word, i in vocabulary.items():
@@ -156,7 +160,7 @@ def fit_tagger(texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, min
     for words, label in zip(np.split(ids, np.cumsum(lengths)[:-1]), labels, strict=True):
         if len(words):
             seen[label, np.unique(np.concatenate([by_word[w] for w in np.unique(words)]))] += 1
-    del by_word, split
+    del by_word
     n = np.maximum(1, np.bincount(labels, minlength=2))
     weight_of = np.log((seen[1] + 0.1) / (n[1] + 0.2)) - np.log((seen[0] + 0.1) / (n[0] + 0.2))
     strong = (seen[1] >= min_documents) & (weight_of > 2.5)
@@ -201,8 +205,8 @@ def fit_tagger(texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, min
         trans += 0.1 * slope_t / np.sqrt(rates[2] + 1e-8)
     names = [f for f, i in features.items() if useful[i]]
     tagger = SpanTagger(dict(zip(names, w.tolist(), strict=True)), float(bias), trans, (0.0, 0.0, 0.0))
-    p, lengths = tagger.tag(list(texts))
-    tagger.score_weights = tuple(_logistic(tagger.summary(p, lengths), labels.astype(float)).tolist())
+    told = [tagger.summary(*tagger.tag(texts[at:at + 100])) for at in range(0, len(texts), 100)]
+    tagger.score_weights = tuple(_logistic(np.concatenate(told), labels.astype(float)).tolist())
     tagger.known = {}
     return tagger
 
