@@ -143,12 +143,15 @@ def merge_locations(structured: DataFrame, text_facts: DataFrame) -> DataFrame:
 # Field fallback ------------------------------------------------------------------------------
 
 def section_groups(fragments: DataFrame) -> DataFrame:
-    """Runs of consecutive fragments under one section, joined to one text."""
+    """Runs of consecutive fragments under one section, joined to one text.
+
+    A fragment of another section, or of none, ends a run.
+    """
     over = Window.partitionBy("document_id").orderBy("position")
     starts = F.when(F.lag("section").over(over).eqNullSafe(F.col("section")), 0).otherwise(1)
-    runs = fragments.where("section is not null and section <> ''") \
-        .withColumn("run", F.sum(starts).over(over))
-    return _joined(runs, "document_id", "section", "run").where("pieces > 1")
+    runs = fragments.withColumn("starts", starts).withColumn("run", F.sum("starts").over(over)).drop("starts")
+    named = runs.where("section is not null and section <> ''")
+    return _joined(named, "document_id", "section", "run").where("pieces > 1")
 
 
 def _joined(fragments: DataFrame, *keys: str) -> DataFrame:

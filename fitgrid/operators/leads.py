@@ -32,7 +32,7 @@ def anchors(pages: DataFrame) -> DataFrame:
 def posting_links(links: DataFrame, limit: int) -> DataFrame:
     """Likely postings of a listing page in page order, at most ``limit`` per page."""
     link, page, text = F.col("link"), F.col("url"), F.col("text")
-    place = F.concat(U.path(link), U.search(link))
+    place = U.decoded(F.concat(U.path(link), U.search(link)))
     board = (U.site_kind(link) != "generic") & (U.path(link) != "/")
     trimmed = F.regexp_replace(U.path(page), "/$", "")
     own_list = ((U.site_kind(page) != "generic") & F.coalesce(U.is_listing(link), F.lit(False))
@@ -41,7 +41,7 @@ def posting_links(links: DataFrame, limit: int) -> DataFrame:
     same = U.origin(link) == U.origin(page)
     accepted = (same & (F.coalesce(U.is_posting_link(link, page), F.lit(False)) | own_list
                         | (text.rlike(U.JOB_LINK_TEXT) & place.rlike(U.CAREER_PATH)))) | (~same & board)
-    rows = links.where((U.scheme(link) == "https") & ~U.path(link).rlike(U.NOT_JOB_PATH) & accepted)
+    rows = links.where((U.scheme(link) == "https") & ~U.decoded(U.path(link)).rlike(U.NOT_JOB_PATH) & accepted)
     first = rows.groupBy("page_id", "link").agg(F.min("position").alias("position"))
     return top_per_key(first, ["page_id"], [F.col("position").asc()], limit, rank="link_rank")
 
@@ -51,8 +51,9 @@ def career_links(links: DataFrame) -> DataFrame:
     link, page = F.col("link"), F.col("url")
     board = (U.site_kind(link) != "generic") & (U.path(link) != "/")
     own = registrable_domain(U.host(link)) == registrable_domain(U.host(page))
-    careerish = F.concat(U.host(link), U.path(link)).rlike(U.CAREER) | F.col("text").rlike(U.CAREER_TEXT)
-    rank = F.when(U.site_kind(link) != "generic", 0).when(U.path(link).rlike(U.CAREER), 1).otherwise(2)
+    place = U.decoded(U.path(link))
+    careerish = F.concat(U.host(link), place).rlike(U.CAREER) | F.col("text").rlike(U.CAREER_TEXT)
+    rank = F.when(U.site_kind(link) != "generic", 0).when(place.rlike(U.CAREER), 1).otherwise(2)
     rows = links.where((U.scheme(link) == "https") & (board | (own & careerish & (link != page))))
     return rows.groupBy("page_id", "link").agg(
         F.min(rank).alias("lead_rank"), F.min("position").alias("position"))
@@ -91,7 +92,7 @@ def _under_careers(url: Column) -> Column:
     place = F.regexp_replace(U.path(url), "/$", "")
     folder = F.when(U.search(url) != "", place).otherwise(F.regexp_replace(place, "[^/]*$", ""))
     name = F.regexp_extract(place, "([^/]*)$", 1)
-    return F.concat(folder, U.search(url)).rlike(U.CAREER) | name.rlike(U.CAREERS_ROOT)
+    return U.decoded(F.concat(folder, U.search(url))).rlike(U.CAREER) | U.decoded(name).rlike(U.CAREERS_ROOT)
 
 
 def classify_sitemap(urls: DataFrame, japanese: bool = True, students: bool = False) -> DataFrame:
@@ -103,20 +104,20 @@ def classify_sitemap(urls: DataFrame, japanese: bool = True, students: bool = Fa
     url = F.col("url")
     under = urls.where(url.startswith("https://") & _under_careers(url)).select(
         "site_id", "url", U.url_shape(url).alias("shape")).distinct()
-    example = F.min("url")
+    example = U.decoded(F.min("url"))
     groups = under.groupBy("site_id", "shape").agg(
         F.count("*").alias("siblings"),
         F.when(example.rlike(U.STUDENT_PATH) == students, 0).otherwise(1).alias("audience_rank"),
         F.when(example.rlike(U.POSTING_PATH), 0).otherwise(1).alias("posting_rank")
     ).where(F.col("siblings") >= SIBLINGS)
     details = under.join(groups, ["site_id", "shape"]).withColumn(
-        "local", F.concat(U.path(url), U.search(url)).rlike(U.JAPANESE_PATH))
+        "local", U.decoded(F.concat(U.path(url), U.search(url))).rlike(U.JAPANESE_PATH))
     if japanese:
         localized = details.groupBy("site_id").agg(F.bool_or("local").alias("has_local"))
         details = details.join(localized, "site_id").where(F.col("local") | ~F.col("has_local")).drop("has_local")
     parent = F.concat(U.origin(url), F.regexp_replace(U.path(url), "[^/]+/?$", ""))
     parents = details.groupBy("site_id", parent.alias("parent")).agg(
-        F.min("audience_rank").alias("audience_rank")).where(F.col("parent").rlike(U.POSTING_PATH))
+        F.min("audience_rank").alias("audience_rank")).where(U.decoded(F.col("parent")).rlike(U.POSTING_PATH))
     present = under.select("site_id", F.concat(F.regexp_replace("url", "/$", ""), F.lit("/")).alias("slashed")).distinct()
     listings = (
         parents.withColumn("slashed", F.concat(F.regexp_replace("parent", "/$", ""), F.lit("/")))
@@ -141,13 +142,13 @@ def listing_pages(links: DataFrame) -> DataFrame:
 
 
 def reachable_pages(
-    leads: DataFrame, links: DataFrame, max_hops: int = 3, budget: int = 40
+    leads: DataFrame, links: DataFrame, max_hops: int = 3, budget: int | None = None
 ) -> DataFrame:
     """Pages reached from official leads over stored links, job sites first, each url once per company.
 
-    ``leads``: (company_id, url, domain). Every hop keeps at most ``budget``
-    pages of a company; a foreign page counts only if it is a board or named
-    after the company's domain.
+    ``leads``: (company_id, url, domain). A foreign page counts only if it is a
+    board or named after the company's domain. A ``budget`` cuts the pages of a
+    company over all hops together, leads aside; without one nothing is cut.
     """
     brand = F.regexp_extract("domain", r"^(?:www\.)?([a-z0-9-]{4,})", 1)
     frontier = leads.select("company_id", "domain", "url", F.lit(0).alias("hop")).distinct()
@@ -157,16 +158,20 @@ def reachable_pages(
         link = F.col("link")
         own = registrable_domain(U.host(link)) == registrable_domain(F.col("domain"))
         board = (U.site_kind(link) != "generic") & (U.path(link) != "/")
-        named = (brand != "") & F.array_contains(F.split(U.host(link), "[.-]"), brand) & link.rlike(U.CAREER)
+        named = (brand != "") & F.array_contains(F.split(U.host(link), "[.-]"), brand) & U.decoded(link).rlike(U.CAREER)
         stepped = (
             frontier.join(links.select("url", "link").distinct(), "url")
             .where((U.scheme(link) == "https") & (own | board | named))
             .groupBy("company_id", "domain", "link").agg(F.count("*").alias("seen"))
-            .withColumn("job_site", F.when(U.site_kind(link) != "generic", 0).when(link.rlike(U.CAREER), 1).otherwise(2))
+            .withColumn("job_site", F.when(U.site_kind(link) != "generic", 0).when(U.decoded(link).rlike(U.CAREER), 1).otherwise(2))
             .join(visited.select("company_id", F.col("url").alias("link")), ["company_id", "link"], "left_anti")
         )
-        chosen = top_per_key(stepped, ["company_id"], [F.col("job_site").asc(), F.col("link").asc()], budget)
-        frontier = checkpointed(chosen.select(
+        if budget is not None:
+            used = visited.where("hop > 0").groupBy("company_id").agg(F.count("*").alias("used"))
+            stepped = top_per_key(
+                stepped, ["company_id"], [F.col("job_site").asc(), F.col("link").asc()], budget, rank="place"
+            ).join(used, "company_id", "left").where(F.col("place") + F.coalesce("used", F.lit(0)) <= budget)
+        frontier = checkpointed(stepped.select(
             "company_id", "domain", F.col("link").alias("url"), F.lit(hop).alias("hop")))
         visited = visited.unionByName(frontier)
     return visited
@@ -177,7 +182,7 @@ def lead_order(ranked: DataFrame, students: bool = False) -> DataFrame:
 
     ``ranked``: (company_id, url, group_rank, place). Pages for another audience go last.
     """
-    audience = F.when(F.col("url").rlike(U.STUDENT_PATH) == students, 0).otherwise(1)
+    audience = F.when(U.decoded(F.col("url")).rlike(U.STUDENT_PATH) == students, 0).otherwise(1)
     best = ranked.groupBy("company_id", "url").agg(F.min(F.struct("group_rank", "place")).alias("best"))
     return best.select("company_id", "url", audience.alias("audience_rank"), "best.*")
 
@@ -203,7 +208,8 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     usable = agents.join(any_own, "origin").where(
         F.when(F.col("any_own"), F.col("own")).otherwise(F.col("everyone"))).select("origin", "group_no")
     return grouped.where(~is_agent & (F.col("value") != "")).join(usable, ["origin", "group_no"]).select(
-        "origin", (F.col("key") == "allow").alias("allow"), F.col("value").alias("rule")).distinct()
+        "origin", (F.col("key") == "allow").alias("allow"), F.col("value").alias("rule"),
+        U.plain_codes(F.col("value")).alias("plain_rule")).distinct()
 
 
 def _rule_matches(place: Column, rule: Column) -> Column:
@@ -220,13 +226,16 @@ def _rule_matches(place: Column, rule: Column) -> Column:
 def robots_decisions(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """allowed / disallowed / held per url; the longest rule wins and "allow" wins ties.
 
+    Rules and paths meet in one spelling of their percent codes.
+
     ``robots``: (origin, status, body). A 4xx answer except 429 means no rules,
     any other failure holds the origin back.
     """
     rules = robots_rules(robots.where("status = 200"), agent)
-    rows = urls.select("url_id", "url").withColumn("origin", U.origin(F.col("url")))
-    place = F.concat(U.path(F.col("url")), U.search(F.col("url")))
-    winners = rows.join(rules, "origin").where(_rule_matches(place, F.col("rule"))).groupBy("url_id").agg(
+    rows = urls.select("url_id", U.origin(F.col("url")).alias("origin"), U.plain_codes(
+        F.concat(U.path(F.col("url")), U.search(F.col("url")))).alias("place"))
+    matched = rows.join(rules, "origin").where(_rule_matches(F.col("place"), F.col("plain_rule")))
+    winners = matched.groupBy("url_id").agg(
         F.max(F.struct(F.length("rule").alias("n"), "allow")).alias("w"))
     status = F.col("status")
     no_rules = status.between(400, 499) & (status != 429)

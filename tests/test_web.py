@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fitgrid.functions import html as H
 from fitgrid.functions import urls as U
 from fitgrid.functions.companies import bare_company, employment_fit, nfkc
-from fitgrid.operators import candidates, leads, pages, privacy
+from fitgrid.operators import candidates, facts, leads, pages, privacy
 
 
 def ask(spark, parse, *values):
@@ -93,6 +93,46 @@ def test_robots_rules(spark):
     assert other == ["disallowed"]
 
 
+def test_robots_rules_and_paths_meet_in_one_spelling(spark):
+    robots = spark.createDataFrame([("https://a.jp", 200, "User-agent: *\nDisallow: /%7Euser/\nDisallow: /x%2fy\nDisallow: /50%\n")],
+                                   "origin string, status int, body string")
+    urls = ["https://a.jp/~user/x", "https://a.jp/%7euser/x", "https://a.jp/x%2Fy", "https://a.jp/x/y", "https://a.jp/50%25", "https://a.jp/user"]
+    got = [r.decision for r in leads.robots_decisions(
+        spark.createDataFrame(list(enumerate(urls)), "url_id int, url string"), robots, "fitgrid").orderBy("url_id").collect()]
+    assert got == ["disallowed"] * 3 + ["allowed"] + ["disallowed", "allowed"]
+
+
+def test_links_are_resolved_and_read_decoded(spark):
+    page = "https://A.jp:443/recruit/x/index.html?q"
+    hrefs = ["../jobs/1", "./2", "../../../z", "..", "a/./b/.", "HTTPS://B.JP:443/C?d#e", "//c.jp", "/%2E%2e/k", "?p=1", "mailto:x", "#top",
+             "http://d.jp:443/", " /s "]
+    df = spark.createDataFrame([(i, h, page) for i, h in enumerate(hrefs)], "n int, h string, p string")
+    got = [r.r for r in df.select("n", U.absolute_url(F.col("h"), F.col("p")).alias("r")).orderBy("n").collect()]
+    assert got == ["https://a.jp/recruit/jobs/1", "https://a.jp/recruit/x/2", "https://a.jp/z", "https://a.jp/recruit/", "https://a.jp/recruit/x/a/b/",
+                   "https://b.jp/C?d", "https://c.jp/", "https://a.jp/k", "https://a.jp/recruit/x/index.html?p=1", None,
+                   "https://a.jp/recruit/x/index.html?q", "http://d.jp:443/", "https://a.jp/s"]
+    assert ask(spark, U.is_listing, "https://a.jp/%E6%8E%A1%E7%94%A8/", "https://a.jp/%E6%8E%A1", "https://a.jp/%zz/") == [True, False, False]
+    links = spark.createDataFrame([(1, "https://a.jp/", 0, "https://a.jp/%E6%8E%A1%E7%94%A8/1", "x")], "page_id int, url string, position int, link string, text string")
+    assert [r.lead_rank for r in leads.career_links(links).collect()] == [1] and leads.posting_links(links, 9).count() == 1
+
+
+def test_reachable_pages_are_cut_by_a_named_budget_only(spark):
+    start = spark.createDataFrame([(1, "https://www.acme.co.jp/", "www.acme.co.jp")], "company_id int, url string, domain string")
+    links = spark.createDataFrame(
+        [("https://www.acme.co.jp/", f"https://www.acme.co.jp/p{i}") for i in range(100)]
+        + [("https://www.acme.co.jp/p1", f"https://www.acme.co.jp/q{i}") for i in range(5)], "url string, link string")
+    def hops(budget):
+        return sorted(r.hop for r in leads.reachable_pages(start, links, budget=budget).collect())
+    assert hops(None) == [0] + [1] * 100 + [2] * 5
+    assert hops(40) == [0] + [1] * 40 and hops(103) == [0] + [1] * 100 + [2] * 3
+
+
+def test_a_foreign_fragment_ends_a_section(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "x"), (1, 2, "b", "y"), (1, 3, "a", "z"), (2, 1, "a", "x"), (2, 2, "a", "y"), (2, 3, "", "q"), (2, 4, "a", "z")],
+                                 "document_id int, position int, section string, text string")
+    assert [(r.document_id, r.text) for r in facts.section_groups(rows).collect()] == [(2, "x y")]
+
+
 def test_sitemaps_that_name_each_other_end(spark):
     robots = spark.createDataFrame([("https://a.jp", "Sitemap: https://a.jp/s.xml")], "origin string, body string")
     maps = spark.createDataFrame([
