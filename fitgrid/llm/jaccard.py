@@ -18,6 +18,7 @@ from fitgrid.llm.shingles import shingle_set
 from fitgrid.llm.tokens import text_batches
 
 _NOBODY = 65535
+_BATCH_HASHES = 500_000
 _SLACK = 1e-9
 
 
@@ -123,6 +124,78 @@ def _min_hashes(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     return sets.select("id", "hashes").mapInPandas(work, "id long, band int, key long")
 
 
+def _rare_prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """``id, h, rest``: the hashes of each set's prefix, rarest first, that some other set may have too.
+
+    ``rest`` counts the hash itself and all that come after it in the set.
+
+    Any order that is the same for all sets gives right prefixes; this one is by
+    how many sets hold a hash (in steps of an eighth of a power of two), so a
+    passage that many sets share comes last. Sets travel in batches. A batch
+    names each of its hashes once per bucket of hashes, with its own count, and
+    gets one byte back for it: 0 if no other set has it.
+    """
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = TaskContext.get().partitionId() << 32
+        for frame in frames:
+            ends = frame["n"].to_numpy(np.int64).cumsum() // _BATCH_HASHES
+            for _, part in frame.groupby(np.maximum(ends, np.arange(len(frame)) // 1000 + ends)):
+                yield pd.DataFrame({
+                    "batch": [turn], "ids": [part["id"].to_numpy(np.int64).tobytes()],
+                    "sizes": [part["n"].to_numpy(np.int64).tobytes()], "hashes": [b"".join(part["hashes"])]})
+                turn += 1
+
+    def kinds_of(hashes: bytes):
+        """The distinct hashes of a batch, each hash's place among them, their buckets, and their order by bucket."""
+        kinds, at, count = np.unique(np.frombuffer(hashes, np.uint64), return_inverse=True, return_counts=True)
+        bucket = ((kinds >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        return kinds, at, count, bucket, np.argsort(bucket, kind="stable")
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for batch, hashes in zip(frame["batch"], frame["hashes"], strict=True):
+                kinds, _, count, bucket, order = kinds_of(hashes)
+                low, count = kinds.astype(np.uint32)[order], count.astype(np.uint32)[order]
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                yield pd.DataFrame(
+                    [(b, batch, low[x:y].tobytes(), count[x:y].tobytes())
+                     for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x],
+                    columns=["bucket", "batch", "hashes", "counts"])
+
+    def level(frame: pd.DataFrame) -> pd.DataFrame:
+        low = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["hashes"]])
+        count = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]])
+        _, at = np.unique(low, return_inverse=True)
+        steps = np.minimum(255, np.rint(8 * np.log2(np.bincount(at, count)))).astype(np.uint8)[at]
+        ends = np.cumsum([len(x) // 4 for x in frame["hashes"]])
+        return pd.DataFrame({"bucket": frame["bucket"], "batch": frame["batch"],
+                             "levels": [steps[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]})
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                ids, sizes = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64)
+                kinds, at, _, _, order = kinds_of(row.hashes)
+                steps = np.empty(len(kinds), np.uint8)
+                steps[order] = np.frombuffer(
+                    b"".join(x["levels"] for x in sorted(row.answers, key=lambda x: x["bucket"])), np.uint8)
+                steps, hashes = steps[at], np.frombuffer(row.hashes, np.int64)
+                owner = np.repeat(np.arange(len(ids)), sizes)
+                order = np.lexsort((hashes, steps, owner))
+                rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = (rank < (sizes - -(-sizes * percent // 100) + 1)[owner]) & (steps[order] > 0)
+                yield pd.DataFrame({"id": ids[owner[first]], "h": hashes[order[first]],
+                                    "rest": (sizes[owner] - rank)[first]})
+
+    batches = stored(sets.select("id", "n", "hashes").mapInPandas(
+        gather, "batch long, ids binary, sizes binary, hashes binary"), "batches")
+    answers = batches.select("batch", "hashes").mapInPandas(
+        spread, "bucket int, batch long, hashes binary, counts binary").groupBy("bucket").applyInPandas(
+        level, "bucket int, batch long, levels binary").groupBy("batch").agg(
+        F.collect_list(F.struct("bucket", "levels")).alias("answers"))
+    return batches.join(answers, "batch").mapInPandas(prefixes, "id long, h long, rest long")
+
+
 def _distances(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """Exact Jaccard distances of distinct pairs ``a, b`` (other columns are kept): ``d``, and ``linked`` on whole numbers."""
     extra = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
@@ -165,11 +238,12 @@ def jaccard_components(
        point within r of none is its own pivot. Points of a region are linked
        through their pivot, so no pair inside a region is ever compared.
     4. Linked points share one of the first ``n - ceil(n * percent / 100) + 1``
-       hashes of either, in an order that puts hashes of a single point first,
-       so these only shorten the lists. Regions of different components that meet under such a
-       hash, and whose counts of common and own shingles allow a link, are
-       compared by their pivots; d(p, q) > R_p + r + R_q rules the whole pair of
-       regions out.
+       hashes of either, in an order from rare to frequent hashes
+       (``_rare_prefixes``). Regions of different components that meet under
+       such a hash, and whose counts of common and own shingles and of shingles
+       left from there on allow a link,
+       are compared by their pivots; d(p, q) > R_p + r + R_q rules the whole
+       pair of regions out.
     5. Otherwise windows replicate boundary points: x of p goes to q only if
        d(p, q) - d(x, p) <= R_q + r and |p & q| leaves room for that, and stays
        only if the exact d(x, q) <= R_q + r.
@@ -225,39 +299,18 @@ def jaccard_components(
     labelled = regions.join(parts.withColumnRenamed("id", "region"), "region", "left").select(
         "id", "own", "common", "region", F.coalesce("component", "region").alias("component"))
 
-    # 4. regions of different components under a common hash; hashes that one point alone has stand first in the order
-    def every_hash(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lists = [np.frombuffer(x, np.int64) for x in frame["hashes"]]
-            if lists:
-                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), [len(x) for x in lists]),
-                                    "h": np.concatenate(lists)})
-
-    own = sets.select("id", "hashes").mapInPandas(every_hash, "id long, h long").groupBy("h").agg(
-        F.count("*").alias("points"), F.min("id").alias("id")).where("points = 1").groupBy("id").agg(
-        F.collect_list("h").alias("own_hashes"))
-
-    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            heads = []
-            for data, n, mine in zip(frame["hashes"], frame["n"], frame["own_hashes"], strict=True):
-                mine = np.zeros(0, np.int64) if mine is None else np.asarray(mine, np.int64)
-                shared = np.frombuffer(data, np.int64)
-                shared = shared[~np.isin(shared, mine)] if len(mine) else shared
-                heads.append(shared[:max(0, n - -(-n * percent // 100) + 1 - len(mine))])
-            if heads:
-                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), [len(h) for h in heads]),
-                                    "h": np.concatenate(heads)})
-
-    under = sets.select("id", "n", "hashes").join(own, "id", "left").mapInPandas(
-        prefixes, "id long, h long").join(labelled, "id")
-    under = stored(under.groupBy("h", "region", "component").agg(*ranges), "under")
+    # 4. regions of different components under a common hash, rare hashes first
+    under = _rare_prefixes(sets, percent, buckets).join(labelled, "id")
+    under = stored(under.groupBy("h", "region", "component").agg(
+        *ranges, F.max("rest").alias("rest"), F.min(F.col("own") + F.col("common")).alias("n")), "under")
     mixed = under.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     meet = under.join(mixed.select("h"), "h", "left_semi")
     p, q = meet.alias("p"), meet.alias("q")
+    # if h is the first hash two points share, |A & B| <= the smaller rest; a linked pair passes at its first
+    first_meeting = (100 + percent) * F.least("p.rest", "q.rest") >= percent * (F.col("p.n") + F.col("q.n"))
     near = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.region") < F.col("q.region"))
                   & (F.col("p.component") != F.col("q.component"))
-                  & may_link("p", "q")).select(F.col("p.region").alias("a"), F.col("q.region").alias("b")).distinct()
+                  & may_link("p", "q") & first_meeting).select(F.col("p.region").alias("a"), F.col("q.region").alias("b")).distinct()
     between = _distances(near, sets, "pivots")
     links.append(between.where(100 * F.col("same") >= percent * F.col("all")).select("a", "b"))
     close = between.join(radius.select(F.col("region").alias("a"), F.col("radius").alias("ra")), "a").join(
