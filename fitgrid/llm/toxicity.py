@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fitgrid.llm.common import stored, whole
 from fitgrid.llm.tokens import text_batches
 
 _TOKEN = re.compile(r"\w+")
@@ -216,26 +218,54 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _fill(candidates: DataFrame, per_class: int, max_chars: int) -> list:
+    """Of ``candidates`` those in the sample: per class in order, each one that still fits, over all of them.
+
+    A class has half of the characters and what the other leaves of its half. A
+    query asks only for texts that fit what is left, so what one query passes
+    over can never fit later; the driver holds at most ``2 * per_class`` of its rows.
+    """
+    order = [F.col("chars") > max_chars // 20, *[c for c in candidates.columns if c not in ("toxic", "chars")]]
+
+    def fill(label: int, room: int) -> dict:
+        own: dict = {}
+        while len(own) < per_class:
+            fits = candidates.where((F.col("toxic") == label) & (F.col("chars") <= room))
+            more = [r for r in fits.orderBy(*order).limit(per_class + len(own)).collect() if r not in own]
+            for r in more:
+                if len(own) < per_class and r["chars"] <= room:
+                    own[r] = r["chars"]
+                    room -= r["chars"]
+            if not more:
+                break
+        return own
+
+    taken = [fill(label, max_chars // 2) for label in (0, 1)]
+    for label in (0, 1):
+        taken[label] = fill(label, max_chars - sum(taken[1 - label].values()))
+    return [r for own in taken for r in own]
+
+
 def training_rows(
     documents: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 20_000_000,
 ) -> list:
-    """At most ``2 * per_class`` labelled texts of at most ``max_chars`` characters together, none of them held out.
-
-    Rows are chosen by a hash of the id, evenly over the corpus, and whole. Rows
-    without id or label are passed over.
+    """At most ``per_class`` labelled texts of each class, of at most ``max_chars`` characters together, none held out.
+
+    Rows are chosen by a hash of the id, evenly over the corpus, and whole. Only
+    labels whose document is there take a place. A text that does not fit what
+    is left of the bound is passed over and later ones follow; texts of over a
+    twentieth of the bound come last, so that a few of them do not use it up.
+    A class thus stays below ``per_class`` only when it has no further text
+    that fits. Rows without id or label are passed over.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(3), "doc_id").alias("pick")).distinct()
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("toxic") == label).orderBy("pick", "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
-    running = Window.orderBy("pick", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bounded = texts.select("doc_id", "pick", "toxic", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
-    short = bounded.withColumn("total", F.sum("chars").over(running)).where(F.col("total") <= max_chars)
-    return texts.join(F.broadcast(short.select("doc_id").distinct()), "doc_id", "left_semi").select(
-        "doc_id", "text", "toxic").orderBy("doc_id", "toxic").collect()
+    chars = F.char_length(whole()).alias("chars")
+    sizes = documents.select("doc_id", chars).where(F.col("chars") <= max_chars)
+    candidates = stored(sizes.join(known, "doc_id").select("pick", "doc_id", "toxic", "chars"), "training-candidates")
+    chosen = documents.sparkSession.createDataFrame(_fill(candidates, per_class, max_chars), candidates.schema)
+    texts = documents.select("doc_id", "text", chars).join(F.broadcast(chosen), ["doc_id", "chars"])
+    return texts.select("doc_id", "text", "toxic").orderBy("doc_id", "toxic").collect()
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -281,8 +311,18 @@ def score_documents(
 
 
 def tagger_for(documents: DataFrame, labels: DataFrame) -> SpanTagger:
-    """A tagger fitted to the labelled sample; without both classes it scores every text as harmless."""
+    """A tagger fitted to the labelled sample.
+
+    Labels of one class only, or none, and empty documents give a tagger that
+    scores every text as harmless. Labels of both classes of which the sample
+    has but one are an error: nothing would be rejected.
+    """
     rows = training_rows(documents, labels)
-    if len({r["toxic"] for r in rows}) < 2:
-        return SpanTagger({}, -12.0, [0.0] * 4, (-12.0, 0.0, 0.0))
-    return fit_tagger([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    sizes = Counter(r["toxic"] for r in rows)
+    if len(sizes) == 2:
+        return fit_tagger([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    toxic = F.col("toxic").cast("int")
+    if labels.where(F.col("doc_id").isNotNull() & toxic.isin(0, 1)).select(toxic).distinct().count() == 2 \
+            and not documents.isEmpty():
+        raise ValueError(f"labels hold both classes, but the texts to learn from do not: {sizes[0]} harmless, {sizes[1]} toxic")
+    return SpanTagger({}, -12.0, [0.0] * 4, (-12.0, 0.0, 0.0))
