@@ -9,11 +9,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitgrid.llm.common import stored, whole
+from fitgrid.llm.common import fingerprint, stored, whole
 from fitgrid.llm.tokens import text_batches
 
 _TOKEN = re.compile(r"\w+")
@@ -256,16 +256,23 @@ def training_rows(
     is left of the bound is passed over and later ones follow; texts of over a
     twentieth of the bound come last, so that a few of them do not use it up.
     A class thus stays below ``per_class`` only when it has no further text
-    that fits. Rows without id or label are passed over.
+    that fits. Equal texts of one id are one row; of its different texts the
+    second and later ones come after the first ones of all ids, ``per_class`` of
+    an id at most. Rows without id or label are passed over.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(3), "doc_id").alias("pick")).distinct()
-    chars = F.char_length(whole()).alias("chars")
-    sizes = documents.select("doc_id", chars).where(F.col("chars") <= max_chars)
-    candidates = stored(sizes.join(known, "doc_id").select("pick", "doc_id", "toxic", "chars"), "training-candidates")
+    key = ["doc_id", "mark", "chars"]
+    texts = documents.where(F.col("doc_id").isNotNull()).select(
+        "doc_id", fingerprint(whole()).alias("mark"), F.char_length(whole()).alias("chars"), whole().alias("text"))
+    own = Window.partitionBy("doc_id").orderBy("mark", "chars")
+    numbered = texts.select(key).where(F.col("chars") <= max_chars).distinct().withColumn(
+        "number", F.row_number().over(own)).where(F.col("number") <= per_class)
+    candidates = stored(numbered.join(known, "doc_id").select(
+        "number", "pick", "doc_id", "mark", "toxic", "chars"), "training-candidates")
     chosen = documents.sparkSession.createDataFrame(_fill(candidates, per_class, max_chars), candidates.schema)
-    texts = documents.select("doc_id", "text", chars).join(F.broadcast(chosen), ["doc_id", "chars"])
-    return texts.select("doc_id", "text", "toxic").orderBy("doc_id", "toxic").collect()
+    rows = texts.join(F.broadcast(chosen), key).groupBy(*key, "toxic").agg(F.min("text").alias("text"))
+    return rows.orderBy("doc_id", "toxic", "mark").select("doc_id", "text", "toxic").collect()
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -320,7 +327,7 @@ def tagger_for(documents: DataFrame, labels: DataFrame) -> SpanTagger:
     rows = training_rows(documents, labels)
     sizes = Counter(r["toxic"] for r in rows)
     if len(sizes) == 2:
-        return fit_tagger([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+        return fit_tagger([r["text"] for r in rows], [r["toxic"] for r in rows])
     toxic = F.col("toxic").cast("int")
     if labels.where(F.col("doc_id").isNotNull() & toxic.isin(0, 1)).select(toxic).distinct().count() == 2 \
             and not documents.isEmpty():

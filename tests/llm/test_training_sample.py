@@ -51,3 +51,17 @@ def test_a_class_without_texts_is_an_error(spark):
         toxicity.tagger_for(docs, labels)
     assert toxicity.tagger_for(docs.limit(0), labels).weights == {}
     assert toxicity.tagger_for(docs, labels.where("toxic = 0")).weights == {}
+
+
+def test_repeated_ids_are_bounded_by_text(spark):
+    hot = IDS[0]
+    texts = [(i, "f") for i in IDS] + [(hot, "g" * 100)] * 300 + [(hot, f"h{n}") for n in range(200)]
+    texts += [(hot, None), (hot, "")] * 50
+    rows = toxicity.training_rows(*tables(spark, texts, LABELS), per_class=1000, max_chars=2000)
+    assert len({(r.doc_id, r.text) for r in rows}) == len(rows) == len(IDS) + 202
+    assert sum(len(r.text) for r in rows) <= 2000
+    rows = toxicity.training_rows(*tables(spark, texts, LABELS), per_class=100)
+    assert Counter(r.toxic for r in rows) == {0: 100, 1: 100}
+    assert len({r.doc_id for r in rows}) == 200  # first texts of other ids before further ones of one
+    rows = toxicity.training_rows(*tables(spark, texts, LABELS), per_class=1000, max_chars=700)
+    assert sum(len(r.text) for r in rows) <= 700
