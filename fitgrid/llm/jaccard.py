@@ -1,4 +1,4 @@
-"""Exact Jaccard join of documents in metric space: pivots, regions, windows, recursion over what is left."""
+"""Exact Jaccard components of documents in metric space: min-hash pivots, regions, prefix filter, one pass over boundary points."""
 
 from __future__ import annotations
 
