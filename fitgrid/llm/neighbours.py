@@ -83,31 +83,53 @@ def nearest_in_tile(query: tuple, candidate: tuple, k: int) -> Iterator[tuple[in
         yield from zip(rows[part].tolist(), ci[columns[part]].tolist(), score.tolist(), strict=True)
 
 
+def cell_counts(queries: int, candidates: int, query_rows: int, candidate_rows: int, least: int) -> tuple[int, int]:
+    """Groups of query blocks and of candidate blocks of about so many rows each; at least ``least`` of the latter."""
+    return max(1, -(-queries // query_rows)), max(least, -(-candidates // candidate_rows))
+
+
 def nearest_neighbours(
     embeddings: DataFrame, every: int = 50, k: int = 5, query_block: int = 1024, candidate_block: int = 4096,
-    tile_splits: int = 8,
+    tile_splits: int = 8, query_blocks: int = 128, candidate_blocks: int = 64,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest cosine for each row whose id ``every`` divides.
 
     Exact: int8 tile products only sort out what cannot be among the k best.
     Query blocks and candidate blocks meet by an equal join on a grid cell, so
-    each pair of blocks is one row of work and a cell can be any task; within a
-    task a heap of k per query merges its tiles, and the heaps of all tasks are
-    merged by rank. Vectors that are null, empty, zero, or hold null or
+    each pair of blocks is one row of work and a cell can be any task. A cell has
+    about ``query_blocks`` by ``candidate_blocks`` full blocks, and there are at
+    least ``tile_splits`` cells, so the grid grows with the input and the work of
+    a cell does not. Within a task a heap of k per query merges its tiles; a task
+    that holds the heaps of a cell's queries sends them on before it takes more.
+    All heaps are merged by rank. Vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor rows without id; vectors of other
     lengths are compared among themselves only.
     """
     vectors = usable_vectors(embeddings)
     queries = _pack(vectors.where(F.col("vec_id") % every == 0), query_block, "q")
-    candidates = _pack(vectors, candidate_block, "c").withColumn(
-        "cell", F.pmod(F.xxhash64("c_ids"), F.lit(tile_splits)).cast("int"))
-    spread = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(tile_splits - 1))))
-    tiles = spread.join(candidates, "cell").where("q_dims = c_dims")
+    heaps_at_once = query_blocks * query_block
+    n = vectors.agg(F.count_if(F.col("vec_id") % every == 0).alias("queries"), F.count("*").alias("candidates")).first()
+    across, down = cell_counts(
+        n["queries"], n["candidates"], heaps_at_once, candidate_blocks * candidate_block, tile_splits)
+
+    def dealt(blocks: DataFrame, ids: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        """Each block in one group of its side, and with every group of the other side."""
+        return blocks.withColumn(own[0], F.pmod(F.xxhash64(ids), F.lit(own[1])).cast("int")).withColumn(
+            other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))))
+    rows, columns = ("cell_q", across), ("cell_c", down)
+    candidates = dealt(_pack(vectors, candidate_block, "c"), "c_ids", columns, rows)
+    tiles = dealt(queries, "q_ids", rows, columns).join(candidates, ["cell_q", "cell_c"]).where("q_dims = c_dims")
+
+    def best_of(heaps: dict[int, list]) -> pd.DataFrame:
+        return pd.DataFrame([(q, -v, s) for q, heap in heaps.items() for s, v in heap], columns=["query_id", "vec_id", "score"])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heaps: dict[int, list] = {}
         for frame in frames:
             for row in frame.to_dict("records"):
+                if len(heaps) >= heaps_at_once:
+                    yield best_of(heaps)
+                    heaps = {}
                 query, candidate = _unpack(row, "q"), _unpack(row, "c")
                 for i, vec, score in nearest_in_tile(query, candidate, k):
                     heap = heaps.setdefault(int(query[0][i]), [])
@@ -115,9 +137,8 @@ def nearest_neighbours(
                         heapq.heappush(heap, (score, -vec))
                     else:
                         heapq.heappushpop(heap, (score, -vec))
-        rows = [(q, -v, s) for q, heap in heaps.items() for s, v in heap]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+        if heaps:
+            yield best_of(heaps)
 
     best = tiles.mapInPandas(work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
