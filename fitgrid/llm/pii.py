@@ -23,9 +23,9 @@ BASE = {
 }
 # Wider forms that only the votes can settle.
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[a-z0-9-]{1,63}+(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]{1,63}+)++",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(]at[\])] ?[a-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]++)++",
     "phone": r"(?<![0-9+(.\x20-])[\x20]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.])",
-    "secret": r"(?i)(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\x22']?[a-z0-9_+/-]{12,200}+[\x22']?|AKIA[0-9A-Z]{16}",
+    "secret": r"(?i)(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\x22']?[a-z0-9_+/-]{12,}+[\x22']?|AKIA[0-9A-Z]{16}",
 }
 # A quick test that most texts fail.
 HINT = {"email": "@", "phone": "+"}
