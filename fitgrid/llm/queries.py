@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgrid.llm import chat, jaccard, line_dedup, mixing, neighbours, packing, pii, token_files, toxicity, vector_dedup
+from fitgrid.llm import (
+    chat, divergence, jaccard, licenses, line_dedup, mixing, neighbours, packing, pii, spelling, token_files, toxicity,
+    vector_dedup,
+)
 from fitgrid.llm.common import table
 from fitgrid.llm.tokens import vocabulary_path
 from fitgrid.session import scratch_path
@@ -62,12 +65,28 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    joined = {name: F.array_join(name, ",").alias(name) for name in ("base_labels", "labels")}
+    return found.select(*[joined.get(c, c) for c in found.columns])
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_personal_data, op3_toxicity, op4_jaccard_join, op5_nearest_neighbours, op6_token_files,
-    op7_embedding_dedup, op8_pack_documents, op9_chat_formatting, op10_mix_sources)}
+    op7_embedding_dedup, op8_pack_documents, op9_chat_formatting, op10_mix_sources, op11_source_divergence,
+    op12_license_scan, op13_spelling_variants)}
 
-# Personal data, toxicity, the Jaccard join, token files, packing and mixing have no twin: spans by votes, a trained
-# field, exact links over whole tables, a tokenizer and a hash order cannot be stated in SQL, or not fast enough.
+# Personal data, toxicity, the Jaccard join, token files, packing, mixing, licence scans and spelling variants have no
+# twin: spans by votes, a trained field, exact links over whole tables, a tokenizer, a hash order, expressions with
+# brackets and crc32 cannot be stated in SQL, or not fast enough.
 TWINS = {
     "op1_line_dedup": """
 with lines as (
@@ -122,4 +141,41 @@ select conv_id, count(*) as n_turns,
   sum(33 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|'))
     + len(regexp_extract_all(text, '<\\*\|')))::bigint as formatted_chars
 from turns group by conv_id""",
+    "op11_source_divergence": r"""
+with d as materialized (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text
+  from documents),
+seen as materialized (
+  select row, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from (select row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d)),
+kept as materialized (
+  select lang, term, count(*) as n from seen group by lang, term having count(distinct row) >= 30),
+lang_total as (select lang, count(*) as v, sum(n) as n from kept group by lang),
+own as (
+  select s.lang, s.source, s.term, count(*) as c from seen s join kept k on k.lang = s.lang and k.term = s.term
+  group by s.lang, s.source, s.term),
+sources as (select distinct lang, source from d),
+source_total as (
+  select s.lang, s.source, coalesce(sum(o.c), 0) as n from sources s
+  left join own o on o.lang = s.lang and o.source = s.source group by s.lang, s.source),
+p as materialized (
+  select s.lang, s.source, k.term, coalesce(o.c, 0) as c,
+    (1 + (1000000000::hugeint * (coalesce(o.c, 0) + 5)) // (s.n + 5 * t.v)::hugeint)::bigint as p,
+    (1 + (1000000000::hugeint * (k.n + 5)) // (t.n + 5 * t.v)::hugeint)::bigint as q
+  from source_total s join kept k on k.lang = s.lang join lang_total t on t.lang = s.lang
+  left join own o on o.lang = s.lang and o.source = s.source and o.term = k.term),
+sums as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a
+  join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by a.lang, a.source, b.source),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value from sources a
+  join sources b on b.lang = a.lang and b.source <> a.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+ranked as (
+  select lang, source, 'pair' as part, item, value,
+    row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select lang, source, 'term', term, p - q, row_number() over (partition by lang, source order by p - q desc, term)
+  from p where c > 0 and p > q)
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 50""",
 }
