@@ -19,6 +19,7 @@ from fitgrid.llm.tokens import text_batches
 _TOKEN = re.compile(r"\w+")
 PREFIXES = range(3, 9)
 _CACHE_ENTRIES = 300_000
+_LOG_RATIO = 2.0  # how much more frequent among toxic documents a feature must be to mark a token
 
 
 def token_features(word: str) -> list[str]:
@@ -118,78 +119,115 @@ class SpanTagger:
         return 1 / (1 + np.exp(-np.clip(b + w1 * x[:, 0] + w2 * x[:, 1], -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1e-2) -> np.ndarray:
-    x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-def fit_tagger(texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, min_documents: int = 4) -> SpanTagger:
-    """Train on labelled documents.
-
-    A document's label says little about its single words, so tokens are
-    labelled first: a feature speaks for toxicity when it is far more frequent
-    among toxic documents, and a token of a toxic document is toxic when one of
-    its features does. The field then learns from these token labels, by
-    gradient steps on its likelihood, what a single feature cannot say: sums of
-    features and neighbours.
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100, ridge: float = 1e-2) -> np.ndarray:
+    """Bias and weights of a logistic fit; a weight below zero is left out, as more hints never speak for harmlessness."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        z = np.column_stack((np.ones(len(x)), x[:, used]))
+        w = np.zeros(z.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+            step = np.linalg.solve(hessian, z.T @ (weight * (y - p)) - ridge * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[1:] >= 0).all():
+            out = np.zeros(1 + x.shape[1])
+            out[0], out[1:][used] = w[0], w[1:]
+            return out
+        used[np.flatnonzero(used)[np.argmin(w[1:])]] = False
+
+
+def telling_features(holders: np.ndarray, documents: np.ndarray, false_share: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """(speak for toxicity, tell anything at all) from ``holders[class, feature]`` among ``documents[class]`` texts.
+
+    If a feature were as frequent in both classes, its toxic holders would be a
+    draw from all its holders; the divergence of what is seen from what is drawn,
+    times the holders, bounds the logarithm of that chance. Of the features that
+    could pass at all, those are taken whose share of false ones is bounded by
+    ``false_share`` (step-up over the sorted chances), so the demand rises with
+    the number of features, and how many texts of a class have been seen decides
+    what a count is worth.
     """
-    labels = np.asarray(toxic)
-    vocabulary: dict[str, int] = {}
-    coded = []
-    for text in texts:  # numbers at once: the words of all texts together would not fit a small driver
-        words = _TOKEN.findall((text or "").lower())
-        coded.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
-    lengths = np.asarray([len(c) for c in coded], np.int64)
-    ids = np.concatenate([np.zeros(0, np.int32), *coded])
+    n = np.maximum(1, documents).astype(float)
+    total = holders.sum(axis=0)
+    share = n[1] / n.sum()
+    expected = np.stack((total * (1 - share), total * share))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = np.where(holders > 0, holders * np.log(holders / expected), 0.0).sum(axis=0)
+    able = total * -math.log(min(share, 1 - share)) >= -math.log(false_share)
+    order = np.argsort(-np.where(able, evidence, -1.0), kind="stable")
+    tested = max(1, int(able.sum()))
+    passes = evidence[order] >= np.log(tested / (false_share * np.arange(1, len(order) + 1)))
+    last = int(np.flatnonzero(passes & able[order])[-1]) + 1 if (passes & able[order]).any() else 0
+    tells = np.zeros(len(total), bool)
+    tells[order[:last]] = True
+    ratio = np.log((holders[1] + 0.1) / (n[1] + 0.2)) - np.log((holders[0] + 0.1) / (n[0] + 0.2))
+    return tells & (ratio > _LOG_RATIO), tells
+
+
+class _Coded:
+    """Texts as word numbers, and the features of the words."""
+
+    def __init__(self, texts: Sequence[str]):
+        vocabulary: dict[str, int] = {}
+        coded = []
+        for text in texts:  # numbers at once: the words of all texts together would not fit a small driver
+            words = _TOKEN.findall((text or "").lower())
+            coded.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+        self.lengths = np.asarray([len(c) for c in coded], np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.int32), *coded])
+        self.words = len(vocabulary)
+        names: dict[str, int] = {}
+        rows, columns = [], []
+        for word, i in vocabulary.items():
+            for f in token_features(word):
+                rows.append(i)
+                columns.append(names.setdefault(f, len(names)))
+        self.names = list(names)
+        self.rows, self.columns = np.asarray(rows, np.int32), np.asarray(columns, np.int32)
+
+    def holders(self, labels: np.ndarray) -> np.ndarray:
+        """How many texts of each class hold a feature."""
+        seen = np.zeros((2, len(self.names)))
+        first = np.concatenate(([0], np.cumsum(np.bincount(self.rows, minlength=self.words))))
+        ends = np.cumsum(self.lengths)
+        for end, n, label in zip(ends, self.lengths, labels, strict=True):
+            words = np.unique(self.ids[end - n:end])
+            sizes = first[words + 1] - first[words]
+            at = np.repeat(first[words], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            seen[label, np.unique(self.columns[at])] += 1
+        return seen
+
+
+def _fit_field(texts: Sequence[str], labels: np.ndarray, rounds: int) -> SpanTagger:
+    """Weights and transitions of the field, from token labels that the texts' own labels suggest."""
+    coded = _Coded(texts)
+    ids, lengths, rows, columns, words = coded.ids, coded.lengths, coded.rows, coded.columns, coded.words
+    strong, useful = telling_features(coded.holders(labels), np.bincount(labels, minlength=2))
+    names = [f for f, used in zip(coded.names, useful, strict=True) if used]
     del coded
-    features: dict[str, int] = {}
-    rows, columns = [], []
-    for word, i in vocabulary.items():
-        for f in token_features(word):
-            rows.append(i)
-            columns.append(features.setdefault(f, len(features)))
-    rows, columns = np.asarray(rows, np.int64), np.asarray(columns, np.int64)
-    seen = np.zeros((2, len(features)))
-    by_word = np.split(columns, np.cumsum(np.bincount(rows, minlength=len(vocabulary)))[:-1]) if len(rows) else []
-    for words, label in zip(np.split(ids, np.cumsum(lengths)[:-1]), labels, strict=True):
-        if len(words):
-            seen[label, np.unique(np.concatenate([by_word[w] for w in np.unique(words)]))] += 1
-    del by_word
-    n = np.maximum(1, np.bincount(labels, minlength=2))
-    weight_of = np.log((seen[1] + 0.1) / (n[1] + 0.2)) - np.log((seen[0] + 0.1) / (n[0] + 0.2))
-    strong = (seen[1] >= min_documents) & (weight_of > 2.5)
-    useful = strong | ((seen.sum(axis=0) >= 5 * min_documents) & (np.abs(weight_of) > 0.7))
-    renumber = np.full(len(features), -1)
+    renumber = np.full(len(useful), -1)
     renumber[useful] = np.arange(useful.sum())
-    word_strong = np.zeros(len(vocabulary), bool)
+    word_strong = np.zeros(words, bool)
     word_strong[rows[strong[columns]]] = True
     keep = useful[columns]
     rows, columns = rows[keep], renumber[columns[keep]]
-    token_label = (word_strong[ids] & np.repeat(labels == 1, lengths)).astype(float)
 
     place, starts, active, _ = _layout(lengths)
-    w, bias, trans = np.zeros(int(useful.sum())), -4.0, np.zeros(4)
+    laid_label = np.empty(len(ids), np.float32)
+    laid_label[place] = word_strong[ids] & np.repeat(labels == 1, lengths)
+    laid_ids = np.empty_like(ids)
+    laid_ids[place] = ids
+    del ids, place
+    w, bias, trans = np.zeros(len(names)), -4.0, np.zeros(4)
     rates = [np.zeros_like(w), 0.0, np.zeros(4)]
-    laid_label = np.empty(len(ids))
-    laid_label[place] = token_label
     for _ in range(rounds):
-        per_word = bias + np.bincount(rows, w[columns], len(vocabulary))
-        laid = np.empty(len(ids))
-        laid[place] = np.exp(np.clip(per_word[ids], -40, 40))
+        per_word = bias + np.bincount(rows, w[columns], words)
+        laid = np.exp(np.clip(per_word, -40, 40)).astype(np.float32)[laid_ids]
         t00, t01, t10, t11 = t = np.exp(trans)
         forward, backward = _ratios(laid, starts, active, t)
-        p = forward * backward / (1 + forward * backward)
-        error = (laid_label - p)[place]
-        slope_w = np.bincount(columns, np.bincount(ids, error, len(vocabulary))[rows], len(w)) - 0.05 * w
-        slope_b = error.sum()
         slope_t = np.zeros(4)
         for s in range(1, len(active)):
             m = active[s]
@@ -199,16 +237,52 @@ def fit_tagger(texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, min
             y0, y1 = laid_label[a], laid_label[b]
             told = np.stack(((1 - y0) * (1 - y1), (1 - y0) * y1, y0 * (1 - y1), y0 * y1))
             slope_t += (told - parts / parts.sum(axis=0)).sum(axis=1)
+        forward *= backward  # odds of the toxic state
+        error = np.subtract(laid_label, forward / (1 + forward), out=backward)
+        slope_w = np.bincount(columns, np.bincount(laid_ids, error, words)[rows], len(w)) - 0.05 * w
+        slope_b = error.sum(dtype=np.float64)
         rates[0] += slope_w**2
         rates[1] += slope_b**2
         rates[2] += slope_t**2
         w += 0.8 * slope_w / np.sqrt(rates[0] + 1e-8)
         bias += 0.3 * slope_b / math.sqrt(rates[1] + 1e-8)
         trans += 0.1 * slope_t / np.sqrt(rates[2] + 1e-8)
-    names = [f for f, i in features.items() if useful[i]]
-    tagger = SpanTagger(dict(zip(names, w.tolist(), strict=True)), float(bias), trans, (0.0, 0.0, 0.0))
-    told = [tagger.summary(*tagger.tag(texts[at:at + 100])) for at in range(0, len(texts), 100)]
-    tagger.score_weights = tuple(_logistic(np.concatenate(told), labels.astype(float)).tolist())
+    return SpanTagger(dict(zip(names, w.tolist(), strict=True)), float(bias), trans, (0.0, 0.0, 0.0))
+
+
+def fit_tagger(
+    texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, labelled: Sequence[int] | None = None, fold: int = 4,
+) -> SpanTagger:
+    """Train on labelled documents.
+
+    A document's label says little about its single words, so tokens are
+    labelled first: a feature speaks for toxicity when toxic documents hold it
+    more often than chance allows (``telling_features``), and a token of a toxic
+    document is toxic when one of its features does. The field then learns from
+    these token labels, by gradient steps on its likelihood, what a single
+    feature cannot say: sums of features and neighbours.
+
+    The map from marginals to a score is fitted on every ``fold``-th text of each
+    class, which the field has not seen: there a word that only chance made
+    telling tells nothing. ``labelled`` counts the texts of each class that the
+    sample stands for; its classes weigh as they do there, so that scores do not
+    depend on how many of each were taken.
+    """
+    labels = np.asarray(toxic, np.int64)
+    number = np.zeros(len(labels), np.int64)
+    for label in (0, 1):
+        number[labels == label] = np.arange((labels == label).sum())
+    apart = number % fold == fold - 1
+    if len(set(labels[apart].tolist())) < 2:  # too few to set any apart
+        apart[:] = False
+    learn = np.flatnonzero(~apart)
+    tagger = _fit_field([texts[i] for i in learn], labels[learn], rounds)
+    judge = np.flatnonzero(apart) if apart.any() else learn
+    told = [tagger.summary(*tagger.tag([texts[i] for i in judge[at:at + 100]])) for at in range(0, len(judge), 100)]
+    taken = np.maximum(1, np.bincount(labels[judge], minlength=2))
+    stands_for = np.asarray(labelled if labelled else np.bincount(labels, minlength=2), float)
+    weight = stands_for / stands_for.sum() * taken.sum() / taken
+    tagger.score_weights = tuple(_logistic(np.concatenate(told), labels[judge].astype(float), weight[labels[judge]]).tolist())
     tagger.known = {}
     return tagger
 
@@ -218,6 +292,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """Labels to learn from: ``doc_id, toxic``, each once."""
+    return labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
+        "doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+
+def labelled_counts(documents: DataFrame, labels: DataFrame) -> list[int]:
+    """How many labels of each class the sample stands for: those to learn from whose document is there."""
+    there = _known(labels).join(documents.select("doc_id"), "doc_id", "left_semi")
+    found = {r["toxic"]: r["count"] for r in there.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    return [found.get(label, 0) for label in (0, 1)]
+
+
 def _fill(candidates: DataFrame, per_class: int, max_chars: int) -> list:
     """Of ``candidates`` those in the sample: per class in order, each one that still fits, over all of them.
 
@@ -260,13 +347,13 @@ def training_rows(
     second and later ones come after the first ones of all ids, ``per_class`` of
     an id at most. Rows without id or label are passed over.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
-        "doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(3), "doc_id").alias("pick")).distinct()
+    known = _known(labels).withColumn("pick", F.xxhash64(F.lit(3), "doc_id"))
     key = ["doc_id", "mark", "chars"]
     texts = documents.where(F.col("doc_id").isNotNull()).select(
         "doc_id", fingerprint(whole()).alias("mark"), F.char_length(whole()).alias("chars"), whole().alias("text"))
     own = Window.partitionBy("doc_id").orderBy("mark", "chars")
-    numbered = texts.select(key).where(F.col("chars") <= max_chars).distinct().withColumn(
+    labelled = texts.select(key).where(F.col("chars") <= max_chars).join(known.select("doc_id"), "doc_id", "left_semi")
+    numbered = labelled.distinct().withColumn(
         "number", F.row_number().over(own)).where(F.col("number") <= per_class)
     candidates = stored(numbered.join(known, "doc_id").select(
         "number", "pick", "doc_id", "mark", "toxic", "chars"), "training-candidates")
@@ -327,7 +414,8 @@ def tagger_for(documents: DataFrame, labels: DataFrame) -> SpanTagger:
     rows = training_rows(documents, labels)
     sizes = Counter(r["toxic"] for r in rows)
     if len(sizes) == 2:
-        return fit_tagger([r["text"] for r in rows], [r["toxic"] for r in rows])
+        counts = labelled_counts(documents, labels)
+        return fit_tagger([r["text"] for r in rows], [r["toxic"] for r in rows], labelled=counts)
     toxic = F.col("toxic").cast("int")
     if labels.where(F.col("doc_id").isNotNull() & toxic.isin(0, 1)).select(toxic).distinct().count() == 2 \
             and not documents.isEmpty():
