@@ -11,24 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitgrid.llm.common import stored, whole
+from fitgrid.llm.tokens import slices
 from fitgrid.operators.keyed import top_per_key
 
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between terms
 _CHARS = 8_000_000  # of text in one Arrow step
 _ROWS = 1_000_000  # partial counts that a task gathers before it sends them on
-_CELLS = 1 << 18  # of one columnar shard: its terms times the sources of its language
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``_CHARS`` characters, or of one row."""
-    at, total = 0, 0
-    for i, n in enumerate(pc.utf8_length(batch.column("text")).to_pylist()):
-        if i > at and total + n > _CHARS:
-            yield batch.slice(at, i - at)
-            at, total = i, 0
-        total += n
-    if at < batch.num_rows:
-        yield batch.slice(at)
+_CELLS = 1 << 15  # of one columnar shard: its terms times the sources of its language
 
 
 def _counts(batch: pa.RecordBatch) -> pa.Table:
@@ -66,7 +55,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         own = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
         place = pa.array([places.setdefault(key, len(places)) for key in own], pa.int32())
-        for part in _slices(pa.record_batch({"text": batch.column("text"), "place": place})):
+        for part in slices(iter([pa.record_batch({"text": batch.column("text"), "place": place})]), chars=_CHARS):
             waiting.append(_counts(part))
             if sum(map(len, waiting)) > 2 * _ROWS:
                 waiting = [merged()]

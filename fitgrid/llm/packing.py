@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitgrid.llm.common import stored
-from fitgrid.llm.tokens import crc32, encoder, text_batches
+from fitgrid.llm.tokens import crc32, encoder, slices
 from fitgrid.operators.keyed import split_running_sum
 
 _ENCODED = ("doc_id long, part int, row long, doc_tokens long, n_full long, full_before long, "
@@ -101,9 +101,9 @@ def pack_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, row, full_before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         ranks: Counter = Counter()
-        for batch, texts in text_batches(batches):
+        for batch in slices(batches):
             out = []
-            for ids in words.encode(texts):
+            for ids in words.encode(batch.column("text")):
                 ids += end
                 n = len(ids) // 4
                 whole = n // window

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fitgrid.llm.tokens import crc32, encoder, text_batches
+from fitgrid.llm.tokens import crc32, encoder, slices
 
 TOKENS = "doc_id long, part int, before long, n_tokens long, tokens array<int>"
 
@@ -27,21 +27,19 @@ def write_token_files(
     metadata columns dictionary-coded; row groups and pages have fixed target
     sizes and pages are indexed, so a reader takes single documents by doc_id,
     or metadata alone, without touching other ids. A null text is empty and
-    holds the end id alone; a null doc_id comes first.
+    holds the end id alone; rows that repeat a doc_id follow each other, each a
+    document of its own; a null doc_id comes first.
     """
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch, texts in text_batches(batches):
-            ids = [x + end for x in words.encode(texts)]
-            counts = np.asarray([len(x) // 4 for x in ids], np.int64)
+        for batch in slices(batches):
+            ids, counts = words.ragged(batch.column("text"))
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
             ends = np.cumsum(counts)
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], ends)), pa.int32()),
-                pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+                pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ids), part), pa.int32()),
+                [batch.column("doc_id"), pa.array(np.full(len(counts), part), pa.int32()),
                  pa.array(before + ends - counts), pa.array(counts), lists],
                 ["doc_id", "part", "before", "n_tokens", "tokens"])
             before += int(ends[-1])

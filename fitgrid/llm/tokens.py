@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 # A space or newline that more white space or the end follows: white space runs
 # are tokens that reach over the cuts made below, so such texts are encoded whole.
-_RUN = re.compile(r"[ \n](?:\s|$)")
+_WHOLE = r"^[ \n]|^$|[ \n]([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 _TAIL = ".,;:!?*%$#&)"  # ASCII punctuation: never in one token with a letter or digit before it
 _CACHE_ENTRIES = 700_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -31,14 +31,17 @@ def encoder(path: str) -> "WordEncoder":
 
 
 class WordEncoder:
-    """Ids of whole texts, equal to the tokenizer's own, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts, equal to the tokenizer's own.
 
     The pre-tokenizer never joins a character with a space or newline that
     follows it, nor a letter or digit with punctuation behind it. Where every
     space and newline stands alone, a text may be cut before each of them, and
-    equal pieces need encoding only once. New words are encoded in long lines;
-    the ids that begin with the separator show where each word starts. Any other
-    text goes through the tokenizer as it is. The cache is emptied when full.
+    equal pieces need encoding only once. Arrow cuts a batch of texts and numbers
+    its pieces; each piece that differs is looked up once, as stem and
+    punctuation, and the ids of the texts are gathered by number. New words are
+    encoded in long lines; the ids that begin with the separator show where each
+    word starts. Any other text goes through the tokenizer as it is. The cache is
+    emptied when full.
     """
 
     def __init__(self, path: str):
@@ -73,59 +76,88 @@ class WordEncoder:
             lead = "\n" if separator == "\n" else ""
             self.cache.update(zip([lead + w for w in part] if lead else part, found, strict=True))
 
-    def _learn(self, pieces: set[str]) -> None:
-        cache, stems, ends = self.cache, {}, set()
-        for piece in pieces:
-            stem = piece.rstrip(_TAIL)
-            if len(stem) < len(piece) and stem[-1:].isalnum():
-                stems[piece] = stem, "\r" + piece[len(stem):]
-                ends.add(stems[piece][1])
-        ends = [x for x in ends if x not in cache]
-        cache.update(zip(ends, self._whole([x[1:] for x in ends]), strict=True))
-        bare = {stems[p][0] if p in stems else p for p in pieces}.difference(cache)
-        first = [p for p in bare if p[0] == "\r"]
-        cache.update(zip(first, self._whole([p[1:] for p in first]), strict=True))
-        self._words([p[1:] for p in bare if p[0] == "\n"], "\n")
-        self._words([p for p in bare if p[0] not in "\r\n"], " ")
-        for piece, (stem, end) in stems.items():
-            cache[piece] = cache[stem] + cache[end]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _known(self, stems: list[str]) -> list[bytes]:
+        """Ids of pieces: " word" without its space, "\\nword" with its newline, a first word behind "\\r"; of nothing, none."""
+        new = [s for s in set(stems).difference(self.cache) if s]
+        first = [s for s in new if s[0] == "\r"]
+        self.cache.update(zip(first, self._whole([s[1:] for s in first]), strict=True))
+        self._words([s[1:] for s in new if s[0] == "\n"], "\n")
+        self._words([s for s in new if s[0] not in "\r\n"], " ")
+        self.cache[""] = b""
+        return list(map(self.cache.__getitem__, stems))
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that may be cut, end to end, and how many each has."""
+        lists = pc.split_pattern(pc.replace_substring(
+            pc.binary_join_element_wise("\r", texts, ""), "\n", " \n"), " ")
+        pieces = lists.flatten().dictionary_encode()
+        stems = pc.utf8_rtrim(pieces.dictionary, characters=_TAIL)
+        parted = pc.match_substring_regex(stems, r"[\p{L}\p{N}]$")
+        ends = pc.if_else(parted, pc.struct_field(pc.extract_regex(
+            pieces.dictionary, "(?P<end>[" + re.escape(_TAIL) + "]*)$"), "end"), "").dictionary_encode()
+        # an end is a first word of its own: it follows a letter, not a space
+        found = self._known(pc.if_else(parted, stems, pieces.dictionary).to_numpy(zero_copy_only=False).tolist())
+        tails = self._known(["\r" + e if e else "" for e in ends.dictionary.to_pylist()])
+        both = [b""] * (2 * len(found))
+        both[::2] = found
+        both[1::2] = map(tails.__getitem__, np.asarray(ends.indices).tolist())
+        sizes = np.fromiter(map(len, both), np.int64, len(both)).reshape(-1, 2).sum(axis=1) // 4
+        ids, per_piece = _gathered(np.frombuffer(b"".join(both), "<u4"), sizes, np.asarray(pieces.indices))
+        upto = np.concatenate(([0], np.cumsum(per_piece)))
+        return ids, np.diff(upto[np.asarray(lists.offsets) - lists.offsets[0].as_py()])
+
+    def ragged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, little-endian unsigned 32-bit, and how many each has; null is empty."""
         if len(self.cache) > _CACHE_ENTRIES:
             self.cache.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        cut, rest = {}, []
-        for i, text in enumerate(texts):
-            if _RUN.search(text) or text[:1] in ("", " ", "\n") or any(s in text for s in self.special):
-                rest.append(i)
-            else:
-                # a piece is " word" without its space, "\nword" with its newline, or the first word behind "\r"
-                pieces = text.replace("\n", " \n").split(" ")
-                pieces[0] = "\r" + pieces[0]
-                cut[i] = pieces
-        self._learn(set().union(*cut.values()).difference(self.cache))
-        known = self.cache.__getitem__
-        for i, pieces in cut.items():
-            out[i] = b"".join(map(known, pieces))
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 4_000_000):
-    """Slices of the batches of at most ``chars`` characters, or of one row, with their texts."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        for mark in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
+        if not pc.any(whole).as_py():
+            return self._cut(texts) if len(texts) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        rest = self._whole(texts.filter(whole).to_pylist())
+        ids, counts = [np.frombuffer(b"".join(rest), "<u4")], [np.asarray([len(x) // 4 for x in rest], np.int64)]
+        if not pc.all(whole).as_py():
+            for known, found in zip((ids, counts), self._cut(texts.filter(pc.invert(whole))), strict=True):
+                known.append(found)
+        order = np.argsort(~np.asarray(whole.to_numpy(zero_copy_only=False), bool), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return _gathered(np.concatenate(ids), np.concatenate(counts), place)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text as bytes."""
+        ids, counts = self.ragged(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        data, ends = ids.tobytes(), np.cumsum(counts) * 4
+        return [data[b - 4 * n:b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` (one of each of ``sizes``, end to end) that ``codes`` number, end to end, and their sizes."""
+    counts = sizes[codes]
+    begins = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(counts) - counts)
+    return values[np.repeat(begins, counts) + np.arange(counts.sum())], counts
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most ``chars`` characters, or of one row."""
     for batch in batches:
-        lengths = np.asarray(pc.fill_null(pc.utf8_length(batch.column(column)), 0))
+        lengths = np.asarray(pc.fill_null(pc.utf8_length(batch.column(column)), 0)).tolist()
         begin, total = 0, 0
         for i, n in enumerate(lengths):
             if i > begin and total + n > chars:
-                part = batch.slice(begin, i - begin)
-                yield part, [t or "" for t in part.column(column).to_pylist()]
+                yield batch.slice(begin, i - begin)
                 begin, total = i, 0
-            total += int(n)
+            total += n
         if begin < batch.num_rows:
-            part = batch.slice(begin)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
+            yield batch.slice(begin)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 4_000_000):
+    """The slices with their texts; null is empty."""
+    for part in slices(batches, column, chars):
+        yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
 def crc32(ids: bytes) -> int:

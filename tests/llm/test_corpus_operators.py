@@ -368,3 +368,41 @@ def test_query_equals_its_twin(spark, name):
     cursor = oracle("/root/testdata/sf0.001").execute(TWINS[name])
     columns = [c[0] for c in cursor.description]
     assert rows_of(got.columns, got.collect()) == rows_of(columns, cursor.fetchall())
+
+
+def test_token_files_with_repeated_and_missing_ids(spark):
+    rows = [(5, "b b"), (None, "none"), (5, "a"), (5, None), (5, "a"), (2, "first"), (None, None), (7, " two  spaces")]
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(docs_of(spark, rows), path, vocabulary_path())
+    encode, key = WordEncoder(vocabulary_path()).encode, lambda i: -1 if i is None else i
+    got = sorted(token_files.token_digests(spark, path).collect(), key=lambda r: r.start)
+    assert [key(r.doc_id) for r in got] == sorted(key(i) for i, _ in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter(
+        (i, len(x) // 4, zlib.crc32(x)) for i, t in rows for x in [encode([t or ""])[0] + bytes(4)])
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+
+
+def test_token_file_layout(spark):
+    """Ids are delta-coded without a dictionary, pages are indexed, and one document is read without the others' pages."""
+    import glob
+    import pyarrow.parquet as pq
+    pick = random.Random(3)
+    rows = [(i, " ".join(pick.choices(["alpha", "beta", "gamma", "delta", "x1", "!"], k=200))) for i in range(3000)]
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(
+        docs_of(spark, rows).coalesce(1), path, vocabulary_path(), row_group_bytes=200 << 10, page_bytes=8 << 10)
+    files = glob.glob(f"{path}/*.parquet")
+    footers = [pq.ParquetFile(f).metadata for f in files]
+    columns = {m.row_group(0).column(k).path_in_schema: m.row_group(0).column(k) for m in footers for k in range(m.num_columns)}
+    tokens = columns["tokens.list.element"]
+    assert "DELTA_BINARY_PACKED" in tokens.encodings and not tokens.has_dictionary_page
+    assert columns["part"].has_dictionary_page
+    assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    assert sum(m.num_rows for m in footers) == 3000 and sum(m.num_row_groups for m in footers) > len(files)
+    assert all(m.row_group(g).total_byte_size < 500 << 10 for m in footers for g in range(m.num_row_groups))
+    one = spark.read.schema("doc_id long, n_tokens long, tokens array<int>").parquet(path).where("doc_id = 1234")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,1234)]" in plan
+    assert [len(r.tokens) for r in one.collect()] == [one.first().n_tokens]
+    light = token_files.token_metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in light
