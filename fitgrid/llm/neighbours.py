@@ -73,6 +73,10 @@ def nearest_in_tile(query: tuple, candidate: tuple, k: int) -> Iterator[tuple[in
     near, slack = tile_bounds(qc, qs, qe, cc, cs, ce)
     low = near - slack
     low[qi[:, None] == ci[None, :]] = -np.inf
+    by_id = np.argsort(ci, kind="stable")
+    first = np.flatnonzero(np.diff(ci[by_id], prepend=ci[by_id[0]] - 1))
+    if len(first) < len(ci):  # an id counts once, by its nearest row
+        low = np.maximum.reduceat(low[:, by_id], first, axis=1)
     least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(qi), -np.inf)
     rows, columns = np.nonzero(near + slack >= least[:, None])
     other = qi[rows] != ci[columns]
@@ -101,7 +105,9 @@ def nearest_neighbours(
     least ``tile_splits`` cells, so the grid grows with the input and the work of
     a cell does not. Within a task a heap of k per query merges its tiles; a task
     that holds the heaps of a cell's queries sends them on before it takes more.
-    All heaps are merged by rank. Vectors that are null, empty, zero, or hold null or
+    All heaps are merged by rank. An id that several rows hold, equal or not, is
+    one query and one candidate: two ids are as near as the nearest of their
+    rows. Vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor rows without id; vectors of other
     lengths are compared among themselves only.
     """
@@ -123,6 +129,21 @@ def nearest_neighbours(
     def best_of(heaps: dict[int, list]) -> pd.DataFrame:
         return pd.DataFrame([(q, -v, s) for q, heap in heaps.items() for s, v in heap], columns=["query_id", "vec_id", "score"])
 
+    def offer(heap: list, entry: tuple[float, int]) -> None:
+        """Keep the k best entries, one per id."""
+        if len(heap) == k and entry <= heap[0]:
+            return
+        for i, (score, vec) in enumerate(heap):
+            if vec == entry[1]:
+                if score < entry[0]:
+                    heap[i] = entry
+                    heapq.heapify(heap)
+                return
+        if len(heap) < k:
+            heapq.heappush(heap, entry)
+        else:
+            heapq.heapreplace(heap, entry)
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heaps: dict[int, list] = {}
         for frame in frames:
@@ -132,15 +153,12 @@ def nearest_neighbours(
                     heaps = {}
                 query, candidate = _unpack(row, "q"), _unpack(row, "c")
                 for i, vec, score in nearest_in_tile(query, candidate, k):
-                    heap = heaps.setdefault(int(query[0][i]), [])
-                    if len(heap) < k:
-                        heapq.heappush(heap, (score, -vec))
-                    else:
-                        heapq.heappushpop(heap, (score, -vec))
+                    offer(heaps.setdefault(int(query[0][i]), []), (score, -vec))
         if heaps:
             yield best_of(heaps)
 
-    best = tiles.mapInPandas(work, "query_id long, vec_id long, score double")
+    best = tiles.mapInPandas(work, "query_id long, vec_id long, score double").groupBy(
+        "query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ def _signed(vectors: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
 def tile_links(left: pd.DataFrame, right: pd.DataFrame | None, table: int, threshold: float):
     """Linked pairs of a tile as index arrays; a pair counts only in the first table that brings it together."""
     def read(side):
-        x = np.stack([np.frombuffer(v, "<f8") for v in side["vector"]])
-        return x, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], np.stack([np.frombuffer(k, np.int32) for k in side["keys"]])
+        x = np.frombuffer(b"".join(side["vector"]), "<f8").reshape(len(side), -1)
+        keys = np.frombuffer(b"".join(side["keys"]), np.int32).reshape(len(side), -1)
+        return x, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], keys
     x, ux, kx = read(left)
     y, uy, ky = (x, ux, kx) if right is None else read(right)
     i, j = np.nonzero(ux @ uy.T >= threshold - 1e-9)
@@ -58,9 +60,27 @@ def tile_links(left: pd.DataFrame, right: pd.DataFrame | None, table: int, thres
     return i, j
 
 
-def _tile_rows(left: pd.DataFrame, right: pd.DataFrame | None, table: int, threshold: float) -> pd.DataFrame:
-    """Per vector of the tile: copies linked here, and the smallest vector it hangs together with here."""
+def _runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Sorted frames cut anew, so that rows of one key stand in one frame; the last key of a frame waits for the next."""
+    rest: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        last = frame[key].to_numpy() == frame[key].iloc[-1]
+        if rest and rest[0][key].iloc[0] == frame[key].iloc[-1]:
+            rest.append(frame)
+            continue
+        yield pd.concat([*rest, frame[~last]])
+        rest = [frame[last]]
+    if rest:
+        yield pd.concat(rest)
+
+
+def _tile_rows(left: pd.DataFrame, right: pd.DataFrame | None, table: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """(id, n, root) per linked vector of the tile: copies linked here, and the smallest vector it hangs together with here."""
     i, j = tile_links(left, right, table, threshold)
+    if not len(i):
+        return (np.zeros(0, np.int64),) * 3
     ids = left["id"].to_numpy() if right is None else np.concatenate((left["id"], right["id"]))
     sizes = left["size"].to_numpy() if right is None else np.concatenate((left["size"], right["size"]))
     if right is not None:
@@ -75,33 +95,51 @@ def _tile_rows(left: pd.DataFrame, right: pd.DataFrame | None, table: int, thres
         if (root == before).all():
             break
     some = np.flatnonzero(count)
-    return pd.DataFrame({"id": ids[some], "n": count[some].astype(np.int64), "root": root[some]})
+    return ids[some], count[some].astype(np.int64), root[some]
+
+
+def hash_sizes(points: int, threshold: float, missed: float, per_bucket: int) -> tuple[int, int]:
+    """(tables, bits): buckets of about ``per_bucket`` unrelated points, and tables enough to miss a share of ``missed``.
+
+    Twelve bits at least and thirty at most. A pair at the threshold agrees on a
+    bit with probability 1 - arccos(threshold) / pi.
+    """
+    bits = min(30, max(12, math.ceil(math.log2(max(1, points) / per_bucket))))
+    meets = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(missed) / math.log1p(-meets)), bits
 
 
 def near_duplicate_vectors(
-    embeddings: DataFrame, threshold: float = 0.95, tables: int = 20, bits: int = 12, block: int = 1024, seed: int = 5,
+    embeddings: DataFrame, threshold: float = 0.95, missed: float = 0.001, per_bucket: int = 16, block: int = 1024, seed: int = 5,
+    tables: int | None = None, bits: int | None = None,
 ) -> DataFrame:
     """One row per row with an id: ``vec_id, n_links, component_id, kept``.
 
     Equal vectors become one point with a size, so a group of copies costs
-    nothing. Each table cuts space by ``bits`` random hyperplanes; a pair at
-    cosine c meets in a table with probability (1 - arccos(c) / pi) ** bits,
-    and in one of 20 with 0.999 at c = 0.95 and 0.99999 at 0.97. Buckets are
-    dealt out in blocks of about ``block`` points and tiles of two blocks, so a
-    full bucket is many tasks. A tile computes all cosines in double precision
-    and returns one row per linked point: how many copies it links to, and the
-    smallest point of its group here. No pairs leave a tile. A pair that meets
-    in several tables counts in the first.
+    nothing. Each table cuts space by random hyperplanes, whose number grows
+    with the logarithm of the points, so unrelated points per bucket do not; the
+    number of tables follows from the share of pairs at the threshold that may
+    be ``missed``; both can be given instead. Buckets are dealt out in blocks of about ``block`` points and
+    tiles of two blocks, so a full bucket is many tasks, and tiles are read off
+    sorted partitions, many small ones in one pass. A tile computes all cosines
+    in double precision and returns one row per linked point: how many copies it
+    links to, and the smallest point of its group here. No pairs leave a tile. A
+    pair that meets in several tables counts in the first.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing; vectors of different lengths never link. Rows that
-    repeat a vec_id are one vector if equal, and otherwise share the id's row
-    of largest size. Rows without id are left out.
+    link with nothing; vectors of different lengths never link. Rows that repeat
+    a vec_id are one vector if equal. If they differ, each is a vector of its
+    own: the id's rows add up their links, and through the id their groups are
+    one. Rows without id are left out.
     """
     good = usable_vectors(embeddings)
-    classes = stored(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("size")), "vectors")
-    own = good.join(classes, "vector").select("vec_id", "id", "size").distinct()
-    signed = stored(_signed(classes, tables, bits, seed), "signed")
+    classes = stored(good.groupBy("vector").agg(
+        F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("size")
+    ).withColumn("id", F.monotonically_increasing_id()), "vectors")
+    own = stored(good.join(classes, "vector").select("vec_id", "id", "size", "first").distinct(), "vector-points")
+    sizes = hash_sizes(classes.count(), threshold, missed, per_bucket)
+    tables, bits = tables or sizes[0], bits or sizes[1]
+    signed = stored(_signed(classes.select("id", "size", "vector"), tables, bits, seed), "signed")
     rows = signed.select("id", "size", "vector", "keys", F.posexplode(F.expr(
         f"transform(sequence(0, {tables - 1}), t -> hex(substring(keys, 4 * t + 1, 4)))")).alias("table", "key"))
     rows = rows.withColumn("dims", F.length("vector"))
@@ -116,22 +154,31 @@ def near_duplicate_vectors(
         F.concat_ws("/", "dims", "table", "key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"),
         (F.col("part") > F.col("other")).alias("second"), (F.col("part") == F.col("other")).alias("alone"))
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        table = int(frame["table"].iloc[0])
-        if frame["alone"].iloc[0]:
-            return _tile_rows(frame.reset_index(drop=True), None, table, threshold)
-        first, second = frame[~frame["second"]], frame[frame["second"]]
-        if not len(first) or not len(second):
-            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
-        return _tile_rows(first.reset_index(drop=True), second.reset_index(drop=True), table, threshold)
-
-    found = stored(tiles.groupBy("tile").applyInPandas(work, "id long, n long, root long"), "tiles")
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _runs(frames, "tile"):
+            ends = np.flatnonzero(np.diff(pd.factorize(frame["tile"])[0], append=-1)) + 1
+            found = []
+            for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+                tile = frame.iloc[begin:end]
+                table, side = int(tile["table"].iloc[0]), tile["second"].to_numpy()
+                if tile["alone"].iloc[0]:
+                    found.append(_tile_rows(tile, None, table, threshold))
+                elif side.any() and not side.all():
+                    found.append(_tile_rows(tile[~side], tile[side], table, threshold))
+            if found:
+                yield pd.DataFrame({name: np.concatenate([x[i] for x in found]) for i, name in enumerate(("id", "n", "root"))})
+
+    found = stored(tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(
+        work, "id long, n long, root long"), "tiles")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-links")
-    linked = own.join(counts, "id", "left").join(groups, "id", "left").select(
-        "vec_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id")
-    ).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    shared = own.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most")
+    same_id = own.join(shared, "vec_id").select("a", F.col("id").alias("b"))
+    groups = connected_components(
+        found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same_id), "vector-links")
+    placed = own.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = placed.join(counts, "id", "left").join(smallest, "component").groupBy("vec_id").agg(
+        F.sum(F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.min("component_id").alias("component_id"))
     return embeddings.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long")).join(
         linked, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
