@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -49,10 +50,13 @@ def source_targets(
 
 def mix_sources(
     documents: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[int] = (3, 1, 2),
-    share: float = 1.5, limit: float = 2.0, seed: int = 11,
+    share: float = 1.5, limit: float = 2.0, seed: int = 11, prefix: str = "", slice_rows: int = 65_536,
 ) -> DataFrame:
     """Every document with ``size, source_size, target, times, taken``; ``keep`` names the columns carried along.
 
+    The five names carry ``prefix``; a kept column that still has one of them
+    gives way to it.
+
     Documents of a source are shuffled by a hash of their id and queue up once
     per round (``ceil(limit)`` rounds). A document's virtual finish time is the
     number of source words queued up to its end, divided by the source's target.
@@ -60,29 +64,34 @@ def mix_sources(
     sum of the targets, is used up. Fair queueing serves the same number of
     words per unit of virtual time, so equal slices of that time are an even
     range partitioning; queues are summed over slices of the hash range, so a
-    source with a third of all rows is spread over a thousand tasks.
+    source with a third of all rows is spread over many tasks. There are 1,024
+    slices at least, and one per ``slice_rows`` documents, and four times as many
+    slices of time. The choice does not depend on their number.
 
     The choice depends on the documents alone, so reruns agree. Null or empty
     texts have size 0 and are never taken; a null source is a source of its own;
     repeated rows queue up one by one. An empty table gives no rows.
     """
     rounds = int(-(-limit // 1))
+    made = [prefix + c for c in ("size", "source_size", "target", "times", "taken")]
+    keep = [c for c in keep if c not in made]
     base = stored(
         documents.select(
             *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "source",
             word_count(whole()).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("pick"),
             F.monotonically_increasing_id().alias("row")), "mix")
+    bits = max(10, math.ceil(math.log2(max(1, base.count() / slice_rows))))
     targets = source_targets(base, weights, share, limit)
     known = base.select("source", "size", "pick", "row").alias("b").join(
         targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
         "source_no", "source_size", "target", "budget", "size", "pick", "row")
     queued = split_running_sum(
-        known.where("size > 0").withColumn("slice", F.shiftright("pick", 54)),
+        known.where("size > 0").withColumn("slice", F.shiftright("pick", 64 - bits)),
         ["source_no"], "slice", ["pick", "row"], F.col("size"), "queued")
     entries = queued.withColumn(
         "round", F.explode(F.array(*[F.lit(i) for i in range(rounds)]))
     ).withColumn("finish", (F.col("round") * F.col("source_size") + F.col("queued")) / F.col("target")
-    ).withColumn("tick", F.floor(F.col("finish") * 4096))
+    ).withColumn("tick", F.floor(F.col("finish") * (4 << bits)))
     served = split_running_sum(
         entries, [], "tick", ["finish", "source_no", "pick", "row", "round"], F.col("size"), "served")
     times = served.where(F.col("served") <= F.col("budget")).groupBy("row").agg(F.count("*").alias("times"))
@@ -90,5 +99,6 @@ def mix_sources(
     facts = base.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
         "b.*", "source_size", "target")
     return facts.join(times, "row", "left").select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target",
-        n.alias("times"), (n * F.col("size")).alias("taken"))
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        *[c.alias(name) for c, name in zip(
+            (F.col("size"), F.col("source_size"), F.col("target"), n, n * F.col("size")), made, strict=True)])

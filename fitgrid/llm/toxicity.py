@@ -367,14 +367,17 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", p
 
 def score_documents(
     documents: DataFrame, tagger: SpanTagger, keep: Sequence[str] = ("doc_id",), threshold: float = 0.3,
-    span_p: float = 0.5,
+    span_p: float = 0.5, prefix: str = "",
 ) -> DataFrame:
     """The columns ``keep`` with ``score, predicted, spans`` of every whole text; spans are offsets of likely toxic tokens.
 
     A null or empty text has no tokens and gets the score of a text without
-    hints. Each row is scored alone, repeated rows alike. Kept columns of the
-    three new names are not allowed.
+    hints. Each row is scored alone, repeated rows alike. The three names carry
+    ``prefix``; a kept column that still has one of them gives way to it.
     """
+    made = [prefix + c for c in ("score", "predicted", "spans")]
+    keep = [c for c in keep if c not in made]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "__text"):
             p, lengths = tagger.tag(texts)
@@ -394,11 +397,11 @@ def score_documents(
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(score),
                  pa.array((score >= threshold).astype(np.int32)), pa.array(spans, _SPANS)],
-                [*keep, "score", "predicted", "spans"])
+                [*keep, *made])
     rows = documents.select(*keep, F.col("text").alias("__text"))
     schema = T.StructType([*documents.select(*keep).schema.fields,
-        T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
-        T.StructField("spans", T.ArrayType(T.StructType([
+        T.StructField(made[0], T.DoubleType()), T.StructField(made[1], T.IntegerType()),
+        T.StructField(made[2], T.ArrayType(T.StructType([
             T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
             T.StructField("p", T.DoubleType())])))])
     return rows.mapInArrow(work, schema)
