@@ -13,7 +13,8 @@ from fitgrid.llm.tokens import vocabulary_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger, trained on the labels, does not reject."""
     tagger = toxicity.tagger_for(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, tagger, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_documents(docs, tagger, keep=docs.columns, prefix="__")
+    return scored.where("__predicted = 0").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mixing.mix_sources(docs, keep=docs.columns)
-    return mixed.where("times > 0").withColumn(
-        "times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    mixed = mixing.mix_sources(docs, keep=docs.columns, prefix="__")
+    return mixed.where("__times > 0").withColumn(
+        "__times", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
