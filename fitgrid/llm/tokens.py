@@ -30,6 +30,12 @@ def encoder(path: str) -> "WordEncoder":
     return _ENCODERS[path]
 
 
+def forget_words() -> None:
+    """Free what the worker's encoders know; for tasks of other kinds that follow in the same worker."""
+    for known in _ENCODERS.values():
+        known.cache.clear()
+
+
 class WordEncoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
@@ -152,6 +158,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+        pa.default_memory_pool().release_unused()  # the pool of a worker that lives on would keep its peak
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 4_000_000):

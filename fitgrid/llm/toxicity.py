@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitgrid.llm.common import fingerprint, stored, whole
-from fitgrid.llm.tokens import text_batches
+from fitgrid.llm.tokens import forget_words, text_batches
 
 _TOKEN = re.compile(r"\w+")
 PREFIXES = range(3, 9)
@@ -379,6 +379,7 @@ def score_documents(
     keep = [c for c in keep if c not in made]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch, texts in text_batches(batches, "__text"):
             p, lengths = tagger.tag(texts)
             score = tagger.score(p, lengths)
