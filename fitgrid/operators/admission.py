@@ -1,23 +1,26 @@
 """Admissions that depend on earlier admissions: allowances, quotas, budgets.
 
 A refused request leaves no trace, so running sums over all requests are wrong
-and the decisions of one key form a chain. The chain is short even where the
-key is not: within one window only ``limit`` requests can be admitted. Keys with
-few requests are folded over their own sorted array. Keys beyond that bound are
-worked off slice by slice of the time axis: a slice is one window long, the only
-state is what was admitted in the slice before, and per state only the first
-few requests of a key can matter, so no key is ever gathered.
+and the decisions of one key form a chain. It breaks wherever a key is idle for
+a window: what was admitted before has expired. These sessions are found first,
+and each is one sorted stream that carries the last few admissions. With a limit
+of one, the request that follows an admission is known without any history, so
+the chains themselves are followed by pointer doubling, a busy key in as many
+tasks as its rows fill. Neither way depends on the span of time.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitgrid.operators.chains import reachable, sessions, split_next
 from fitgrid.operators.keyed import top_per_key
-from fitgrid.session import checkpointed, scratch_path
-
-FOLD_BOUND = 2048
+from fitgrid.session import scratch_path
 
 
 def _micros(ts: Column) -> Column:
@@ -38,111 +41,81 @@ def _no_entries(types: dict[str, str]) -> Column:
     return F.array().cast(f"array<struct<{','.join(f'{name}:{kind}' for name, kind in types.items())}>>")
 
 
-def _fold(sorted_events: Column, entry: dict[str, str], limit: int, window_us: int) -> Column:
-    """Admitted entries of one key; the last ``limit`` of them are all that can still count."""
-    def step(admitted: Column, e: Column) -> Column:
-        recent = F.filter(
-            F.slice(admitted, F.greatest(F.size(admitted) - limit + 1, F.lit(1)), limit),
-            lambda x: x["us"] >= e["us"] - window_us)
-        admit = (F.size(recent) < limit) & ~F.exists(recent, lambda x: x["item"] == e["item"])
-        return F.when(admit, F.concat(admitted, F.array(e))).otherwise(admitted)
-    return F.aggregate(sorted_events, _no_entries(entry), step)
-
-
-def _admit_light(events: DataFrame, limit: int, window_us: int) -> DataFrame:
-    order = F.array_sort(F.collect_list(F.struct("us", "event_id", "item")))
-    return events.groupBy("key").agg(order.alias("e")).select(
-        "key", F.inline(_fold(F.col("e"), _types(events, "us", "event_id", "item"), limit, window_us)))
-
-
-def _admit_slice(events: DataFrame, before: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """Admissions of one slice, given those of the slice before (at most ``limit`` per key)."""
-    state = before.groupBy("key").agg(F.collect_list(F.struct("us", "item")).alias("slots"))
-    live = F.filter(F.coalesce("slots", _no_entries(_types(events, "us", "item"))),
-                    lambda x: x["us"] >= F.col("us") - window_us)
-    open_ = (
-        events.join(state, "key", "left").withColumn("live", live)
-        .where(~F.exists("live", lambda x: x["item"] == F.col("item")))
-        .select("key", "us", "event_id", "item", F.size("live").alias("used")).where(F.col("used") < limit)
-    )
-    # While the earlier slots stand still, only the first requests for an item, and of
-    # those the first 2 * limit, can be admitted: at most limit items are repeats.
-    in_time = [F.col("us").asc(), F.col("event_id").asc()]
-    first = top_per_key(open_, ["key", "used", "item"], in_time)
-    few = top_per_key(first, ["key", "used"], in_time, 2 * limit)
-
-    def step(admitted: Column, e: Column) -> Column:
-        admit = (e["used"] + F.size(admitted) < limit) & ~F.exists(admitted, lambda x: x["item"] == e["item"])
-        entry = F.array(F.struct(e["us"].alias("us"), e["event_id"].alias("event_id"), e["item"].alias("item")))
-        return F.when(admit, F.concat(admitted, entry)).otherwise(admitted)
-    order = F.array_sort(F.collect_list(F.struct("us", "event_id", "item", "used")))
-    return few.groupBy("key").agg(order.alias("e")).select(
-        "key", F.inline(F.aggregate("e", _no_entries(_types(events, "us", "event_id", "item")), step)))
-
-
-def _admit_heavy(events: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """One round per slice that holds requests; every round reads its own partition only."""
-    spark, path = events.sparkSession, scratch_path(events.sparkSession, "admission")
-    schema = _ddl(_types(events, "key", "us", "event_id", "item"))
-    events.select("key", "us", "event_id", "item", F.expr(f"us div {window_us}").alias("slice")) \
-        .write.partitionBy("slice").parquet(f"{path}/requests")
-    stored = spark.read.schema(schema + ", slice bigint").parquet(f"{path}/requests")
-    # The list of slices grows with the time span alone.
-    slices = [r[0] for r in stored.select("slice").distinct().orderBy("slice").toLocalIterator()]
-    previous = None
-    for number in slices:
-        if previous == number - 1:
-            before = spark.read.schema(schema).parquet(f"{path}/admitted/slice={previous}")
-        else:
-            before = spark.createDataFrame([], schema)
-        here = stored.where(F.col("slice") == number).drop("slice")
-        _admit_slice(here, before, limit, window_us).select("key", "us", "event_id", "item") \
-            .write.parquet(f"{path}/admitted/slice={number}")
-        previous = number
-    return spark.read.schema(schema).parquet(f"{path}/admitted").select("key", "us", "event_id", "item")
+def _events(requests: DataFrame, key: str, item: str | None) -> DataFrame:
+    """``key, us, event_id, item``, and the key as never null columns; a null key is a key of its own."""
+    return requests.select(
+        F.col(key).alias("key"), F.xxhash64(F.col(key).isNull(), F.col(key).cast("string")).alias("key_hash"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key_text"),
+        _micros(F.col("ts")).alias("us"), "event_id", F.col(item or "event_id").alias("item"))
+
+
+def _decide(batches: Iterator[pa.RecordBatch], limit: int, window_us: int) -> Iterator[pa.RecordBatch]:
+    """Decisions of sessions that come one after another, each in order; at most ``limit`` admissions are remembered."""
+    session, live = None, deque()
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key_hash", "key_text", "session", "us", "item")]
+        decided = []
+        for *own, us, item in zip(*columns, strict=True):
+            if own != session:
+                session, live = own, deque()
+            while live and live[0][0] < us - window_us:
+                live.popleft()
+            if any(x == item for _, x in live):
+                decided.append("repeat")
+            elif len(live) < limit:
+                live.append((us, item))
+                decided.append("admitted")
+            else:
+                decided.append("rejected")
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), batch.column("event_id"), pa.array(decided, pa.string())], ["key", "event_id", "decision"])
 
 
 def rolling_admissions(
     requests: DataFrame, key: str, limit: int, window_seconds: int, item: str | None = None,
-    fold_bound: int = FOLD_BOUND,
 ) -> DataFrame:
     """Decision per request in (ts, event_id) order per key.
 
     admitted: fewer than ``limit`` admissions in the last ``window_seconds``;
     repeat: the same ``item`` was admitted in that time, which costs nothing;
     rejected: everything else.
+
+    Requests of a key that was idle for longer than the window start afresh, so
+    every such session is decided by itself, in one pass over its sorted rows
+    with at most ``limit`` admissions in hand. A session is never gathered; a key
+    that is never idle is one sorted stream. A null key is a key of its own.
     """
     window_us = window_seconds * 1_000_000
-    events = requests.select(
-        F.col(key).alias("key"), _micros(F.col("ts")).alias("us"), "event_id",
-        F.col(item or "event_id").alias("item"))
-    sizes = events.groupBy("key").agg(F.count("*").alias("n"))
-    heavy = checkpointed(sizes.where(F.col("n") > fold_bound).select("key"))
-    if heavy.isEmpty():
-        admitted = _admit_light(events, limit, window_us)
-    else:
-        admitted = _admit_light(events.join(heavy, "key", "left_anti"), limit, window_us).unionByName(
-            _admit_heavy(events.join(heavy, "key", "left_semi"), limit, window_us))
-    decided = events.join(admitted.select("event_id", F.lit(True).alias("ok")), "event_id", "left")
-    if item is None:
-        return decided.select(F.col("key").alias(key), "event_id", F.when(F.col("ok"), "admitted").otherwise("rejected").alias("decision"))
-    # A key admits an item at most once per window, so the right side of this join is thin.
-    taken = admitted.select("key", "item", F.col("us").alias("taken_us"), F.col("event_id").alias("taken_id"))
-    earlier = ((F.col("taken_us") < F.col("us"))
-               | ((F.col("taken_us") == F.col("us")) & (F.col("taken_id") < F.col("event_id"))))
-    repeats = events.join(taken, ["key", "item"]).where(
-        earlier & (F.col("taken_us") >= F.col("us") - window_us)
-    ).select("event_id", F.lit(True).alias("again")).distinct()
-    return decided.join(repeats, "event_id", "left").select(
-        F.col("key").alias(key), "event_id",
-        F.when(F.col("ok"), "admitted").when(F.col("again"), "repeat").otherwise("rejected").alias("decision"))
-
-
-def single_flight(requests: DataFrame, key: str, active_seconds: int, fold_bound: int = FOLD_BOUND) -> DataFrame:
-    """The first request of an active period starts a job, later ones join it."""
-    decided = rolling_admissions(requests, key, 1, active_seconds, fold_bound=fold_bound)
-    return decided.select(key, "event_id", F.when(
-        F.col("decision") == "admitted", "started").otherwise("joined").alias("outcome"))
+    events = _events(requests, key, item)
+    own = ["key_hash", "key_text"]
+    cut = sessions(events, own, "us", "event_id", window_us, "session")
+    sorted_ = cut.select("key", *own, "session", "us", "event_id", "item").repartition(
+        *own, "session").sortWithinPartitions(*own, "session", "us", "event_id")
+    schema = _ddl(_types(events, "key", "event_id")) + ", decision string"
+    return sorted_.mapInArrow(lambda batches: _decide(batches, limit, window_us), schema).withColumnRenamed("key", key)
+
+
+def single_flight(requests: DataFrame, key: str, active_seconds: int) -> DataFrame:
+    """The first request of an active period starts a job, later ones join it.
+
+    From a start the next one is the first request of its key after the active
+    time. These links are known for every request at once; the starts are those
+    that the first request after an idle time leads to. ``event_id`` tells
+    requests apart.
+    """
+    window_us = active_seconds * 1_000_000
+    events = _events(requests, key, None)
+    own = ["key_hash", "key_text"]
+    heads = sessions(events, own, "us", "event_id", window_us, "session").where("__first").select(F.col("event_id").alias("id"))
+    asked = events.select(*own, F.col("us").alias("at"), F.lit(0).alias("probe"), "event_id")
+    probes = events.select(*own, (F.col("us") + window_us).alias("at"), F.lit(1).alias("probe"), "event_id")
+    # at the same instant the request comes first: the job is still active then
+    timeline = asked.unionByName(probes).withColumn("bucket", F.call_function("div", F.col("at"), F.lit(max(1, window_us // 16))))
+    links = split_next(timeline, own, "bucket", ["at", "probe", "event_id"], F.col("probe") == 0, "event_id", "next").where(
+        "probe = 1").select(F.col("event_id").alias("id"), "next")
+    starts = reachable(links, heads).select(F.col("id").alias("event_id"), F.lit(True).alias("start"))
+    return events.join(starts, "event_id", "left").select(
+        F.col("key").alias(key), "event_id", F.when(F.col("start"), "started").otherwise("joined").alias("outcome"))
 
 
 def budget_reservations(reservations: DataFrame, daily_limit: int) -> DataFrame:

@@ -44,8 +44,8 @@ def request_allowance(d: Domain):
 
 @query("request_allowance_by_slices", _ALLOWANCE)
 def request_allowance_by_slices(d: Domain):
-    """The same allowance with every user taken for a heavy one."""
-    return admission.rolling_admissions(d.requests, "user_id", 2, DAY, fold_bound=0)
+    """The same allowance over requests that are spread over many partitions first."""
+    return admission.rolling_admissions(d.requests.repartition(64), "user_id", 2, DAY)
 
 
 _QUOTA = """
@@ -72,8 +72,8 @@ def new_analysis_quota(d: Domain):
 
 @query("new_analysis_quota_by_slices", _QUOTA)
 def new_analysis_quota_by_slices(d: Domain):
-    """The same quota with every user taken for a heavy one."""
-    return admission.rolling_admissions(new_analyses(d), "user_id", 3, 5 * DAY, item="url_id", fold_bound=0)
+    """The same quota over requests that are spread over many partitions first."""
+    return admission.rolling_admissions(new_analyses(d).repartition(64), "user_id", 3, 5 * DAY, item="url_id")
 
 
 _DISCOVERY = """

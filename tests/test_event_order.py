@@ -41,13 +41,12 @@ def loop(rows, limit, hours, use_item):
     return out
 
 
-@pytest.mark.parametrize("limit, hours, use_item, fold_bound", [
-    (1, 6, False, admission.FOLD_BOUND), (3, 24, False, admission.FOLD_BOUND), (3, 12, True, admission.FOLD_BOUND),
-    (3, 24, False, 100), (2, 30, True, 100), (2, 40, True, 0)])
-def test_rolling_admissions_equal_a_loop(spark, limit, hours, use_item, fold_bound):
+@pytest.mark.parametrize("limit, hours, use_item", [
+    (1, 6, False), (3, 24, False), (3, 12, True), (3, 1, False), (2, 30, True), (2, 40, True)])
+def test_rolling_admissions_equal_a_loop(spark, limit, hours, use_item):
     rows = events(limit * 31 + hours)
     got = admission.rolling_admissions(
-        frame(spark, rows), "user_id", limit, hours * 3600, item="item" if use_item else None, fold_bound=fold_bound)
+        frame(spark, rows), "user_id", limit, hours * 3600, item="item" if use_item else None)
     assert {r.event_id: r.decision for r in got.collect()} == loop(rows, limit, hours, use_item)
 
 
@@ -57,15 +56,59 @@ def test_rejected_requests_leave_no_trace(spark):
     assert [r.decision for r in got.orderBy("event_id").collect()] == ["admitted"] * 3 + ["rejected", "admitted"]
 
 
-@pytest.mark.parametrize("fold_bound", [admission.FOLD_BOUND, 0])
-def test_ids_may_be_texts(spark, fold_bound):
+def test_ids_may_be_texts(spark):
     rows = [(str(i), "u", START + dt.timedelta(hours=i), "x" if i % 2 else "y") for i in range(6)]
     df = spark.createDataFrame(rows, "event_id string, user_id string, ts timestamp_ntz, item string")
-    got = admission.rolling_admissions(df, "user_id", 1, 7200, item="item", fold_bound=fold_bound)
+    got = admission.rolling_admissions(df, "user_id", 1, 7200, item="item")
     assert [r.decision for r in got.orderBy("event_id").collect()] == [
         "admitted", "rejected", "repeat", "admitted", "rejected", "repeat"]
 
 
+@pytest.mark.parametrize("hours", [1, 6, 50])
+def test_single_flight_equals_a_loop(spark, hours):
+    rows = events(70 + hours) + [(1000 + i, None, START + dt.timedelta(hours=i), 0) for i in range(9)]
+    want = {k: "started" if v == "admitted" else "joined" for k, v in loop(rows, 1, hours, False).items()}
+    got = admission.single_flight(frame(spark, rows), "user_id", hours * 3600).collect()
+    assert {r.event_id: r.outcome for r in got} == want
+    assert {r.event_id for r in got if r.user_id is None} == set(range(1000, 1009))
+
+
+def jobs_of(spark, label, work):
+    spark.sparkContext.setJobGroup(label, label)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+
+
+def test_jobs_do_not_grow_with_the_span_of_time(spark):
+    def spread(slices):
+        rows = [(i, i % 3, START + dt.timedelta(minutes=i), i % 5) for i in range(slices)]
+        return frame(spark, rows)
+    counts = []
+    for slices in (10, 10_000):
+        table = spread(slices)
+        for item in (None, "item"):
+            counts.append(jobs_of(spark, f"admissions-{slices}-{item}", lambda t=table, i=item: admission.rolling_admissions(
+                t, "user_id", 2, 60, item=i).collect()))
+    assert max(counts) < 20
+    rows = [(i, 0, START + dt.timedelta(seconds=40 * i), 0) for i in range(10_000)]  # one session of 5,000 starts
+    found = admission.single_flight(frame(spark, rows), "user_id", 60).where("outcome = 'started'").collect()
+    assert sorted(r.event_id for r in found) == list(range(0, 10_000, 2))
+
+
+def test_next_of_a_kind(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), rng.randrange(60), rng.random() < 0.2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, k bigint, at bigint, wanted boolean").withColumn("b", F.floor(F.col("at") / 4))
+    from fitgrid.operators.chains import split_next
+    got = {r.id: r.n for r in split_next(df, ["k"], "b", ["at", "id"], F.col("wanted"), "id", "n").collect()}
+    for i, k, at, _ in rows:
+        later = sorted((a, j) for j, x, a, w in rows if x == k and w and (a, j) > (at, i))
+        assert got[i] == (later[0][1] if later else None)
+
+
 def test_budget_skips_and_goes_on(spark):
     rng = random.Random(5)
     rows = [(i, START + dt.timedelta(minutes=rng.randrange(4000)), rng.choice([1, 2, 3, 7, 40])) for i in range(600)]
