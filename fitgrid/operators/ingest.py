@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitgrid.operators.chains import reachable, split_next
 from fitgrid.operators.keyed import newest, top_per_key
 from fitgrid.session import checkpointed
 
@@ -92,41 +93,54 @@ def evaluation_outcomes(submitted: DataFrame, stored: DataFrame, key: Sequence[s
         .otherwise(F.when(differs, "conflict").otherwise("replayed")).alias("outcome"))
 
 
-def profile_submissions(submissions: DataFrame, latest: DataFrame) -> DataFrame:
+def _accepted_runs(submissions: DataFrame, latest: DataFrame, bucket_seconds: int) -> DataFrame:
+    """``event_id`` of the submissions that accept one another in turn, without regard to their keys.
+
+    From an accepted submission that expects version v, the next accepted one is
+    the first later submission of its user that expects v + 1; the first of all
+    is the earliest that expects the user's current version. So the links are
+    known at once and the runs are followed by pointer doubling.
+    """
+    asked = submissions.select("user_id", F.col("expected_version").alias("level"), "ts", "event_id", F.lit(0).alias("probe"))
+    timeline = asked.unionByName(asked.withColumn("level", F.col("level") + 1).withColumn("probe", F.lit(1))).withColumn(
+        "bucket", F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(bucket_seconds * 1_000_000)))
+    links = split_next(
+        timeline, ["user_id", "level"], "bucket", ["ts", "event_id", "probe"], F.col("probe") == 0, "event_id", "next"
+    ).where("probe = 1").select(F.col("event_id").alias("id"), "next")
+    heads = submissions.join(latest, "user_id").where("expected_version = version").groupBy("user_id").agg(
+        F.min_by("event_id", F.struct("ts", "event_id")).alias("id"))
+    return reachable(links, heads).withColumnRenamed("id", "event_id")
+
+
+def profile_submissions(submissions: DataFrame, latest: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Outcome of each profile submission, taken per user in (ts, event_id) order.
 
     A submission is accepted if it expects the user's current version, which
-    then grows by one. Accepted ones are found one version at a time for all
-    users together, so the number of rounds is the longest run of new versions
-    and no user's submissions are gathered. An accepted key seen again is a
-    replay, or a conflict if its content changed.
+    then grows by one. An accepted key seen again is a replay, or a conflict if
+    its content changed. ``event_id`` tells submissions apart; rows without user
+    or of a user without a version are version conflicts.
+
+    All users' runs of accepted submissions are found together, in as many
+    rounds as the longest has binary digits. A run that accepts a key twice is
+    right up to the second time: what repeats a key of that part can only be a
+    replay, so it is taken out, and the users concerned are followed again.
     """
-    current = latest.select("user_id", F.col("version").alias("current"),
-                            F.lit(None).cast("timestamp_ntz").alias("last_ts"),
-                            F.lit(None).cast("bigint").alias("last_id"))
-    accepted = None
+    waiting, accepted = submissions.where("user_id is not null and expected_version is not null"), None
     while True:
-        later = F.col("last_ts").isNull() | (
-            F.struct("ts", "event_id") > F.struct(F.col("last_ts"), F.col("last_id")))
-        fitting = submissions.join(current, "user_id").where(
-            (F.col("expected_version") == F.col("current")) & later)
-        if accepted is not None:
-            fitting = fitting.join(
-                accepted.select("user_id", "idempotency_key"), ["user_id", "idempotency_key"], "left_anti")
-        step = checkpointed(fitting.groupBy("user_id").agg(
-            F.min(F.struct("ts", "event_id", "idempotency_key", "payload", "current")).alias("s")
-        ).select("user_id", "s.*"))
-        if step.isEmpty():
+        run = checkpointed(waiting.join(_accepted_runs(waiting, latest, bucket_seconds), "event_id", "left_semi").select(
+            "user_id", "event_id", "ts", "idempotency_key", "payload", F.col("expected_version").alias("current")))
+        own_key = Window.partitionBy("user_id", "idempotency_key").orderBy("current")
+        repeats = checkpointed(run.withColumn("n", F.row_number().over(own_key)).where(
+            (F.col("n") > 1) & F.col("idempotency_key").isNotNull()).groupBy("user_id").agg(F.min("current").alias("wrong")))
+        right = run.join(repeats, "user_id", "left_anti")
+        accepted = right if accepted is None else accepted.unionByName(right)
+        if repeats.isEmpty():
             break
-        accepted = step if accepted is None else accepted.unionByName(step)
-        moved = step.select("user_id", (F.col("current") + 1).alias("new"),
-                            F.col("ts").alias("new_ts"), F.col("event_id").alias("new_id"))
-        current = checkpointed(current.join(moved, "user_id", "left").select(
-            "user_id", F.coalesce("new", "current").alias("current"),
-            F.coalesce("new_ts", "last_ts").alias("last_ts"), F.coalesce("new_id", "last_id").alias("last_id")))
-    if accepted is None:
-        return submissions.select("user_id", "event_id", F.lit("version_conflict").alias("outcome"),
-                                  F.lit(None).cast("bigint").alias("new_version"))
+        known = run.join(repeats, "user_id").where("current < wrong").select(
+            "user_id", "idempotency_key", F.col("event_id").alias("first_id"))
+        waiting = checkpointed(waiting.join(repeats, "user_id", "left_semi").join(
+            known, ["user_id", "idempotency_key"], "left").where(
+            F.col("first_id").isNull() | (F.col("first_id") == F.col("event_id"))).drop("first_id"))
     taken = accepted.select(
         "user_id", "idempotency_key", F.col("event_id").alias("taken_id"), F.col("ts").alias("taken_ts"),
         F.col("payload").alias("taken_payload"), (F.col("current") + 1).alias("new_version"))

@@ -202,3 +202,42 @@ def test_profile_submissions_equal_a_loop(spark):
     latest = spark.createDataFrame([(u, 1) for u in range(4)], "user_id bigint, version bigint")
     got = ingest.profile_submissions(df, latest)
     assert {r.event_id: r.outcome for r in got.collect()} == want
+
+
+SUBMISSIONS = "event_id bigint, user_id bigint, ts timestamp_ntz, idempotency_key bigint, payload string, expected_version bigint"
+
+
+def submissions_by_loop(rows, versions):
+    version, taken, want = dict(versions), {}, {}
+    for event_id, user, ts, key, payload, expected in sorted(rows, key=lambda r: (r[2], r[0])):
+        if (user, key) in taken:
+            want[event_id] = "replayed" if taken[user, key] == payload else "idempotency_conflict", None
+        elif user in version and expected == version[user]:
+            taken[user, key] = payload
+            version[user] += 1
+            want[event_id] = "accepted", version[user]
+        else:
+            want[event_id] = "version_conflict", None
+    return want
+
+
+@pytest.mark.parametrize("keys, levels", [(3, 5), (40, 3), (12, 9)])
+def test_submissions_with_many_repeated_keys(spark, keys, levels):
+    rng = random.Random(keys)
+    rows = [(i, rng.randrange(5), START + dt.timedelta(minutes=5 * rng.randrange(200)), rng.randrange(keys), rng.choice("ab"),
+             rng.randrange(1, levels)) for i in range(400)]
+    versions = {u: 1 + u % 2 for u in range(4)}  # user 4 has no version
+    latest = spark.createDataFrame(list(versions.items()), "user_id bigint, version bigint")
+    got = ingest.profile_submissions(spark.createDataFrame(rows, SUBMISSIONS), latest).collect()
+    assert {r.event_id: (r.outcome, r.new_version) for r in got} == submissions_by_loop(rows, versions)
+
+
+def test_one_user_with_thousands_of_versions(spark):
+    rows = [(i, 0, START + dt.timedelta(minutes=i), i, "a", 1 + i // 2) for i in range(6000)]
+    latest = spark.createDataFrame([(0, 1)], "user_id bigint, version bigint")
+    found = []
+    jobs = jobs_of(spark, "versions", lambda: found.extend(
+        ingest.profile_submissions(spark.createDataFrame(rows, SUBMISSIONS), latest).collect()))
+    assert {r.event_id: (r.outcome, r.new_version) for r in found} == submissions_by_loop(rows, {0: 1})
+    assert sum(r.outcome == "accepted" for r in found) == 3000
+    assert jobs < 200  # 13 rounds; one round a version would be 3,000
