@@ -241,6 +241,20 @@ class Domain:
             F.when(state == "F", key * 10 + 2).alias("evaluation_id"),
         )
 
+    @cached_property
+    def job_runs(self) -> DataFrame:
+        """When each job was queued, leased and ended: open orders wait or run, filled ones have ended."""
+        key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+        hours = lambda n: F.make_dt_interval(hours=n.cast("int"))
+        queued = F.col("o_orderdate") + F.make_dt_interval(mins=(key * 37 % 1440).cast("int"))
+        leased = queued + hours(1 + key % 50)
+        return self.raw("orders").select(
+            key.alias("job_id"), queued.alias("queued_at"),
+            F.when(state != "P", leased).alias("leased_at"),
+            F.when(state != "P", leased + hours(key % 30)).alias("lease_until"),
+            F.when(state == "F", leased + hours(key % 45))
+            .when((state == "P") & (key % 3 == 0), queued + hours(key % 200)).alias("ended_at"))
+
     # Events -------------------------------------------------------------------------------
 
     @cached_property

@@ -136,16 +136,31 @@ def abuse_users(events: DataFrame, failed_jobs: DataFrame, since: Column) -> Dat
     )
 
 
-def job_backlog(jobs: DataFrame) -> DataFrame:
-    """Queued jobs and expired leases at the end of each day with a change."""
-    entries = jobs.where("status = 'queued'").select(
-        F.lit("queued").alias("series"), F.col("created_at").cast("date").alias("day")
-    ).unionByName(jobs.where("status = 'running'").select(
-        F.lit("expired_lease").alias("series"), F.col("lease_until").cast("date").alias("day")))
-    daily = entries.groupBy("series", "day").agg(F.count("*").alias("added")) \
-        .withColumn("year", F.year("day"))
-    return split_running_sum(daily, ["series"], "year", ["day"], F.col("added"), "open_jobs").select(
-        "series", "day", "added", "open_jobs")
+def job_backlog(runs: DataFrame) -> DataFrame:
+    """Waiting jobs, and running jobs whose lease has expired, right after every instant at which a count changes.
+
+    ``runs`` has one row per job: ``queued_at, leased_at, lease_until, ended_at``.
+    A job waits from ``queued_at`` until it is leased, or ends without a lease. A
+    leased job counts as expired from ``lease_until`` until it ends; one that ends
+    in time never does. A missing instant has not come yet; a job that leaves no
+    later than it enters is never counted.
+
+    Result: ``series, instant, entered, left, open_jobs``. Both ends of an interval are
+    events; equal instants are added up before the running sum, which goes month
+    by month.
+    """
+    waiting = F.struct(F.lit("queued").alias("series"), F.col("queued_at").alias("since"),
+                       F.coalesce("leased_at", "ended_at").alias("until"))
+    expired = F.struct(F.lit("expired_lease").alias("series"),
+                       F.when(F.col("leased_at").isNotNull(), F.col("lease_until")).alias("since"), F.col("ended_at").alias("until"))
+    open_ = runs.select(F.inline(F.array(waiting, expired))).where("since is not null and (until is null or until > since)")
+    ends = open_.select("series", F.inline(F.array(
+        F.struct(F.col("since").alias("instant"), F.lit(1).alias("entered"), F.lit(0).alias("left")),
+        F.struct(F.col("until").alias("instant"), F.lit(0).alias("entered"), F.lit(1).alias("left"))))).where("instant is not null")
+    changes = ends.groupBy("series", "instant").agg(F.sum("entered").alias("entered"), F.sum("left").alias("left"))
+    return split_running_sum(
+        changes.withColumn("month", F.trunc(F.col("instant").cast("date"), "month")), ["series"], "month", ["instant"],
+        F.col("entered") - F.col("left"), "open_jobs").select("series", "instant", "entered", "left", "open_jobs")
 
 
 def job_transitions(jobs: DataFrame, now: Column, max_attempts: int) -> DataFrame:

@@ -127,12 +127,9 @@ def abuse_user_summary(d: Domain):
     return analytics.abuse_users(d.abuse_events, failed, ntz(SINCE))
 
 
-@query("job_backlog", twin("""
-    select series, day, added, sum(added) over (partition by series order by day)::bigint as open_jobs from (
-      select 'queued' as series, cast(created_at as date) as day, count(*) as added from analysis_jobs where status = 'queued' group by 1, 2
-      union all select 'expired_lease', cast(lease_until as date), count(*) from analysis_jobs where status = 'running' group by 1, 2) z"""))
+@query("job_backlog", twin("select * from backlog"))
 def job_backlog(d: Domain):
-    return analytics.job_backlog(d.analysis_jobs)
+    return analytics.job_backlog(d.job_runs)
 
 
 @query("job_lifecycle_sweep", twin("""
@@ -309,19 +306,68 @@ def tokens_per_call(d: Domain):
         direction.alias("direction"), F.expr("(length(text) + 3) div 4").alias("tokens")))
 
 
-@query("alert_hold", twin("""
-    select rule, min(window_start) as started_at, count(*) * 3600 as held_seconds from (
-      select *, epoch(window_start)::bigint // 3600 - row_number() over (partition by rule order by window_start) as island from (
-        select 'error_share' as rule, date_trunc('hour', ts) as window_start from http_requests group by 2
-          having count(*) filter (where status >= 500)::double / count(*) > 0.05
-        union all select 'slow_share', date_trunc('hour', ts) from http_requests group by 2
-          having count(*) filter (where duration_ms > 200)::double / count(*) > 0.1) b) z
-    group by rule, island having count(*) * 3600 >= 7200"""))
+# Window, hold time and limit of each alert, in seconds, shares, milliseconds and counts.
+ERROR_SHARE = {"window": 600, "hold": 600, "above": 0.05}
+SLOW_ROUTE = {"window": 600, "hold": 900, "above": 2000}
+FAILURES = {"window": 600, "hold": 300, "above": 5}
+QUEUED = {"hold": 1800, "above": 20}
+EXPIRED = {"hold": 1800, "above": 0}
+STEP = 60
+ALERT_BOUNDS = (100, 250, 500, 1000, 2000, 2500, 5000)
+
+
+def _sampled_twin(rule: str, breaches: str, hold: int) -> str:
+    return f"""
+    select '{rule}' as rule, series, make_timestamp(min(instant) * 1000000) as started_at,
+      make_timestamp((min(instant) + {hold}) * 1000000) as fired_at, make_timestamp(max(instant) * 1000000) as until
+    from (select *, instant // {STEP} - row_number() over (partition by series order by instant) as island from ({breaches}) b) z
+    group by series, island having max(instant) - min(instant) >= {hold}"""
+
+
+def _gauge_twin(rule: str, series: str, above: int, hold: int) -> str:
+    return f"""
+    select '{rule}', '{series}', min(instant) as started_at, min(instant) + to_seconds({hold}), nullif(max(coalesce(next_at, timestamp '9999-01-01')), timestamp '9999-01-01') as until
+    from (select *, sum(case when over and not was_over then 1 else 0 end) over (order by instant) as stretch from (
+      select instant, open_jobs > {above} as over, coalesce(lag(open_jobs) over (order by instant), 0) > {above} as was_over, lead(instant) over (order by instant) as next_at
+      from backlog where series = '{series}') b) z
+    where over group by stretch
+    having max(coalesce(next_at, timestamp '9999-01-01')) >= min(instant) + to_seconds({hold})"""
+
+
+def _slow_twin() -> str:
+    counts = ", ".join(f"count(*) filter (where duration_ms <= {b}) as le_{b}" for b in ALERT_BOUNDS)
+    low, before, cases = 0, "0", ""
+    for b in ALERT_BOUNDS:
+        cases += f" when le_{b} >= n * 0.95::double then {low} + ({b} - {low}) * (n * 0.95::double - {before}) / (le_{b} - {before})"
+        low, before = b, f"le_{b}"
+    return f"""select series, instant from (select route as series, instant, count(*) as n, {counts} from sampled group by route, instant) c
+      where case{cases} else {ALERT_BOUNDS[-1]} end > {SLOW_ROUTE["above"]}"""
+
+
+_ALERTS = " union all ".join([
+    _sampled_twin("error_share", f"""select 'all' as series, instant from sampled group by instant
+      having count(*) filter (where status >= 500)::double / count(*) > {ERROR_SHARE["above"]}""", ERROR_SHARE["hold"]),
+    _sampled_twin("slow_route", _slow_twin(), SLOW_ROUTE["hold"]),
+    _sampled_twin("failures", f"""select route as series, instant from sampled where status >= 500 group by route, instant
+      having count(*) > {FAILURES["above"]}""", FAILURES["hold"]),
+    _gauge_twin("queued", "queued", QUEUED["above"], QUEUED["hold"]),
+    _gauge_twin("expired_lease", "expired_lease", EXPIRED["above"], EXPIRED["hold"])])
+
+
+@query("alert_hold", twin(_ALERTS, f"""sampled as (
+      select route, status, duration_ms, (first + k * {STEP})::bigint as instant from (
+        select *, ceil(epoch_us(ts) / {STEP}000000.0)::bigint * {STEP} as first from http_requests) r, range({600 // STEP}) t(k))"""))
 def alert_hold(d: Domain):
-    hourly = d.http_requests.groupBy(metrics.hour(F.col("ts")).alias("window_start")).agg(
-        F.try_divide(F.count_if(F.col("status") >= 500), F.count("*")).alias("error_share"),
-        F.try_divide(F.count_if(F.col("duration_ms") > 200), F.count("*")).alias("slow_share"))
-    samples = hourly.select("window_start", F.inline(F.array(
-        F.struct(F.lit("error_share").alias("rule"), (F.col("error_share") > 0.05).alias("breached")),
-        F.struct(F.lit("slow_share").alias("rule"), (F.col("slow_share") > 0.1).alias("breached")))))
-    return metrics.alert_holds(samples, 3600, 7200)
+    requests, backlog = d.http_requests, analytics.job_backlog(d.job_runs).withColumnRenamed("open_jobs", "value")
+    calls = requests.select("ts", F.col("route").alias("operation"), F.when(F.col("status") >= 500, "error").otherwise("ok").alias("outcome"))
+    shares = metrics.error_share_samples(requests, ERROR_SHARE["window"], STEP, ERROR_SHARE["above"])
+    slow = metrics.slow_route_samples(requests, SLOW_ROUTE["window"], STEP, SLOW_ROUTE["above"], ALERT_BOUNDS)
+    failures = metrics.failure_samples(calls, FAILURES["window"], STEP, FAILURES["above"])
+    return metrics.alerts({
+        "error_share": (metrics.sampled_holds(shares, STEP, ERROR_SHARE["hold"]), ERROR_SHARE["hold"]),
+        "slow_route": (metrics.sampled_holds(slow, STEP, SLOW_ROUTE["hold"]), SLOW_ROUTE["hold"]),
+        "failures": (metrics.sampled_holds(failures, STEP, FAILURES["hold"]), FAILURES["hold"]),
+        "queued": (metrics.gauge_holds(backlog.where("series = 'queued'"), QUEUED["above"], QUEUED["hold"]), QUEUED["hold"]),
+        "expired_lease": (metrics.gauge_holds(
+            backlog.where("series = 'expired_lease'"), EXPIRED["above"], EXPIRED["hold"]), EXPIRED["hold"]),
+    })

@@ -176,6 +176,21 @@ DEFINITIONS: dict[str, str] = {
           case when o_orderstatus = 'O' then o_orderdate + to_days(cast(o_orderkey % 30 as int)) end as lease_until,
           case when o_orderstatus = 'F' then o_orderkey * 10 + 2 end as evaluation_id
         from orders""",
+    "job_runs": """
+        select job_id, queued_at, case when state <> 'P' then leased_at end as leased_at,
+          case when state <> 'P' then leased_at + to_hours(job_id % 30) end as lease_until,
+          case when state = 'F' then leased_at + to_hours(job_id % 45)
+            when state = 'P' and job_id % 3 = 0 then queued_at + to_hours(job_id % 200) end as ended_at
+        from (select o_orderkey as job_id, o_orderstatus as state, o_orderdate + to_minutes(o_orderkey * 37 % 1440) as queued_at,
+          o_orderdate + to_minutes(o_orderkey * 37 % 1440) + to_hours(1 + o_orderkey % 50) as leased_at from orders) z""",
+    "backlog_spans": """
+        select 'queued' as series, queued_at as since, coalesce(leased_at, ended_at) as until from job_runs
+        union all select 'expired_lease', lease_until, ended_at from job_runs where leased_at is not null""",
+    "backlog": """
+        select series, instant, count(*) filter (where up) as entered, count(*) filter (where not up) as "left",
+          sum(sum(case when up then 1 else -1 end)) over (partition by series order by instant)::bigint as open_jobs
+        from (select series, since as instant, true as up from backlog_spans where until is null or until > since
+          union all select series, until, false from backlog_spans where until > since) z group by series, instant""",
     "abuse_events": """
         select event_id, user_id, ts,
           case event_type when 'click' then 'analysis_new' when 'view' then 'analysis_cached'
