@@ -30,6 +30,24 @@ def code(number: Column) -> Column:
     return F.lpad(number.cast("string"), 2, "0")
 
 
+def abuse_rows(events: DataFrame) -> DataFrame:
+    """Abuse events of a table or stream of events, with keys that change every day."""
+    kind = F.col("event_type")
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    day = F.col("ts").cast("date").cast("string")
+    return events.select(
+        "event_id", "user_id", "ts",
+        F.when(kind == "click", "analysis_new").when(kind == "view", "analysis_cached")
+        .when(kind == "error", "analysis_quota_rejected")
+        .when(kind == "signup", "career_profile_saved").otherwise("share_created")
+        .alias("event_type"),
+        F.when(F.col("event_id") % 20 != 0, F.sha2(F.concat_ws("|", day, k), 256))
+        .alias("ip_key"),
+        F.sha2(F.concat_ws("|", day, (F.col("user_id") % 7).cast("string")), 256)
+        .alias("ua_key"),
+    )
+
+
 class Domain:
     """Lazy domain tables over one directory of test tables."""
 
@@ -263,20 +281,7 @@ class Domain:
 
     @cached_property
     def abuse_events(self) -> DataFrame:
-        kind = F.col("event_type")
-        k = F.regexp_extract("props", r"(\d+)", 1)
-        day = F.col("ts").cast("date").cast("string")
-        return self.events.select(
-            "event_id", "user_id", "ts",
-            F.when(kind == "click", "analysis_new").when(kind == "view", "analysis_cached")
-            .when(kind == "error", "analysis_quota_rejected")
-            .when(kind == "signup", "career_profile_saved").otherwise("share_created")
-            .alias("event_type"),
-            F.when(F.col("event_id") % 20 != 0, F.sha2(F.concat_ws("|", day, k), 256))
-            .alias("ip_key"),
-            F.sha2(F.concat_ws("|", day, (F.col("user_id") % 7).cast("string")), 256)
-            .alias("ua_key"),
-        )
+        return abuse_rows(self.events)
 
     @cached_property
     def consent_policies(self) -> DataFrame:

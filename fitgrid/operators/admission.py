@@ -118,27 +118,34 @@ def single_flight(requests: DataFrame, key: str, active_seconds: int) -> DataFra
         F.col("key").alias(key), "event_id", F.when(F.col("start"), "started").otherwise("joined").alias("outcome"))
 
 
+def _reserve(batches: Iterator[pa.RecordBatch], daily_limit: int) -> Iterator[pa.RecordBatch]:
+    """Ids that fit, of days that come one after another, each in order; only the day's total is remembered."""
+    day, total = None, 0
+    for batch in batches:
+        fits = []
+        for own, units in zip(batch.column("usage_date").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            if own != day:
+                day, total = own, 0
+            fits.append(total + units <= daily_limit)
+            total += units if fits[-1] else 0
+        yield pa.RecordBatch.from_arrays([batch.column("event_id").filter(pa.array(fits, pa.bool_()))], ["event_id"])
+
+
 def budget_reservations(reservations: DataFrame, daily_limit: int) -> DataFrame:
     """All-or-nothing reservations per day in (ts, event_id) order; what does not fit is skipped.
 
     What is left only shrinks, so the accepted reservations of one size are the
     first ones of that size, ``daily_limit / size`` of them at most. Only those
-    candidates are folded, however many reservations a day holds.
+    candidates, however many reservations a day holds, pass by in order while
+    the day's total is kept.
     """
     first = top_per_key(
         reservations.select("usage_date", "event_id", "ts", "units"), ["usage_date", "units"],
         [F.col("ts").asc(), F.col("event_id").asc()], daily_limit, rank="n"
     ).where(F.col("n") * F.col("units") <= daily_limit)
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(acc: Column, e: Column) -> Column:
-        fits = acc["total"] + e["units"] <= daily_limit
-        return F.struct(
-            F.when(fits, acc["total"] + e["units"]).otherwise(acc["total"]).alias("total"),
-            F.when(fits, F.concat(acc["ids"], F.array(e["event_id"]))).otherwise(acc["ids"]).alias("ids"))
-    order = F.array_sort(F.collect_list(F.struct("ts", "event_id", "units")))
-    accepted = first.groupBy("usage_date").agg(order.alias("e")).select(
-        F.explode(F.aggregate("e", start, step)["ids"]).alias("event_id"))
+    in_order = first.select("usage_date", "units", "ts", "event_id").repartition("usage_date").sortWithinPartitions(
+        "usage_date", "ts", "event_id")
+    accepted = in_order.mapInArrow(lambda batches: _reserve(batches, daily_limit), _ddl(_types(reservations, "event_id")))
     return reservations.join(accepted.withColumn("ok", F.lit(True)), "event_id", "left").select(
         "usage_date", "event_id", "units", F.coalesce("ok", F.lit(False)).alias("reserved"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fitgrid.bindings import AS_OF, Domain, ntz
+from fitgrid.bindings import AS_OF, Domain, abuse_rows, ntz
 from fitgrid.operators import admission, consent
 from fitgrid.plans.registry import query
 from fitgrid.plans.twins import twin
@@ -179,17 +179,18 @@ def sliding_metrics(d: Domain):
     return table.withColumn("window_start", instant("window_start"))
 
 
-def abuse_stream_rows(d: Domain):
-    return stream(d).select("ts", "event_type", "user_id")
-
-
-@query("abuse_stream", """
-    select cast(ts as date) as day, event_type, count(*) as events, count(distinct user_id) as users from events
-    where cast(ts as date) + interval 1 day <= (select date_trunc('day', max(ts)) - interval 7 day from events) group by 1, 2""")
+@query("abuse_stream", twin("""
+    select d.day, a.event_type, count(*) as events, count(distinct a.user_id) as users, coalesce(max(w.n), 0) as max_users_per_ip_key
+    from (select distinct cast(ts as date) as day from events) d
+    join abuse_events a on cast(a.ts as date) between d.day - 6 and d.day
+    left join widest w on w.day = d.day and w.event_type = a.event_type group by 1, 2""", """widest as (
+      select day, event_type, max(n) as n from (
+        select d.day, a.event_type, a.ip_key, count(distinct a.user_id) as n
+        from (select distinct cast(ts as date) as day from events) d
+        join abuse_events a on cast(a.ts as date) between d.day - 6 and d.day where a.ip_key is not null group by 1, 2, 3) z group by 1, 2)"""))
 def abuse_stream(d: Domain):
-    events = runs.run_to_table(windows.abuse_counts(abuse_stream_rows(d)), "abuse-events")
-    users = runs.run_to_table(windows.abuse_users(abuse_stream_rows(d)), "abuse-users")
-    return events.join(users, ["day", "event_type"])
+    rows = abuse_rows(stream(d)).select("ts", "event_type", "ip_key", "user_id")
+    return windows.abuse_days(runs.run_to_table(windows.abuse_pairs(rows), "abuse", mode="update"))
 
 
 @query("consent_stream", twin("select purpose, user_id from consented_users"))

@@ -9,7 +9,8 @@ from fitgrid.functions.companies import employment_fit
 from fitgrid.operators import candidates, ingest
 from fitgrid.plans.registry import query
 from fitgrid.plans.twins import twin
-from fitgrid.session import checkpointed
+from fitgrid.session import checkpointed, scratch_path
+from fitgrid.sources import sinks
 
 
 def employment_facts(d: Domain):
@@ -353,4 +354,8 @@ def discovery_results_sink(d: Domain):
         F.col("p_partkey").alias("job_posting_id"), url(F.col("p_partkey")).alias("url"),
         F.col("p_name").alias("title"),
         F.concat(F.lit("Company "), (F.col("p_partkey") % 5).cast("string")).alias("company_name"))
-    return ingest.discovery_results(results, postings)
+    verified = ingest.discovery_results(results, postings)
+    path = scratch_path(d.spark, "discovery-results")
+    for batch in ("first", "again"):  # a job that runs twice under another name stores nothing twice
+        sinks.append_new(verified, path, ["request_id", "posting"], [F.col("position").asc()], batch)
+    return sinks.read_appended(d.spark, verified.schema, path)

@@ -51,16 +51,24 @@ class RollingAdmission(StatefulProcessor):
 
 
 class DailyBudget(StatefulProcessor):
-    """Reserves units of a day while the total stays within the limit; skips what does not fit."""
+    """Reserves units of a day while the total stays within the limit; skips what does not fit.
+
+    The total goes when the watermark has passed the day: no reservation of it can follow.
+    """
 
     def __init__(self, daily_limit: int):
         self.daily_limit = daily_limit
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.total = handle.getValueState("total", "units bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        total = self.total.get()[0] if self.total.exists() else 0
+        if self.total.exists():
+            total = self.total.get()[0]
+        else:
+            total = 0
+            self.handle.registerTimer((key[0] + 1) * 86_400_000)
         out = []
         for r in _in_time(rows):
             fits = total + r.item <= self.daily_limit
@@ -69,6 +77,10 @@ class DailyBudget(StatefulProcessor):
         self.total.update((total,))
         return iter(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.total.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -106,16 +118,23 @@ class LeaseExpiry(StatefulProcessor):
             self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
         if until:
             self.handle.registerTimer(until)
-        self.lease.update((until, attempts))
+        self._keep(until, attempts)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until, attempts = self.lease.get() if self.lease.exists() else (0, 0)
         if not until:
             return iter([])
-        self.lease.update((0, attempts if attempts < self.max_attempts else 0))
+        self._keep(0, attempts if attempts < self.max_attempts else 0)
         return iter([self._expired(key, until, attempts)])
 
+    def _keep(self, until: int, attempts: int) -> None:
+        """A job that is done for, one way or the other, leaves no state; one that waits again keeps its attempts."""
+        if until or attempts:
+            self.lease.update((until, attempts))
+        else:
+            self.lease.clear()
+
     def _expired(self, key, until, attempts) -> Row:
         outcome = "failed" if attempts >= self.max_attempts else "requeued"
         return Row(key=key[0], at_ms=until, outcome=outcome, attempts=attempts)
@@ -145,12 +164,12 @@ def admission_stream(requests: DataFrame, key: str, limit: int, window_seconds:
     return _state(rows, processor, _decisions(rows)).withColumnRenamed("key", key)
 
 
-def budget_stream(reservations: DataFrame, daily_limit: int) -> DataFrame:
-    """Reservations per UTC day; the key is the day's number."""
-    rows = reservations.select(
-        F.unix_date(F.to_date("ts")).cast("bigint").alias("key"), F.unix_micros("ts").alias("us"), "event_id",
+def budget_stream(reservations: DataFrame, daily_limit: int, late: str = "10 minutes") -> DataFrame:
+    """Reservations per UTC day; the key is the day's number. Rows that come later than ``late`` are dropped."""
+    rows = reservations.withWatermark("ts", late).select(
+        F.unix_date(F.to_date("ts")).cast("bigint").alias("key"), F.unix_micros("ts").alias("us"), "event_id", "ts",
         F.col("units").cast("bigint").alias("item"))
-    return _state(rows, DailyBudget(daily_limit), _decisions(rows)).select(
+    return _state(rows, DailyBudget(daily_limit), _decisions(rows), "EventTime").select(
         F.date_from_unix_date(F.col("key").cast("int")).alias("usage_date"), "event_id",
         (F.col("decision") == "reserved").alias("reserved"))
 

@@ -17,19 +17,33 @@ def windowed_metrics(requests: DataFrame, size: str = "1 hour", slide: str | Non
     ).select(F.col("w.start").alias("window_start"), "route", "requests", "errors", "duration_ms")
 
 
-def abuse_counts(events: DataFrame) -> DataFrame:
-    """Events per day and type over a seven-day state."""
-    return events.withWatermark("ts", "7 days").groupBy(
-        F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events")
-    ).select(F.col("w.start").cast("date").alias("day"), "event_type", "events")
-
-
-def abuse_users(events: DataFrame) -> DataFrame:
-    """Exact distinct users per day and type: duplicates go first, then plain counts."""
-    day = events.withColumn("ts", F.date_trunc("day", "ts")).withWatermark("ts", "7 days")
-    return day.dropDuplicates(["ts", "event_type", "user_id"]).groupBy(
-        F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("users")
-    ).select(F.col("w.start").cast("date").alias("day"), "event_type", "users")
+def abuse_pairs(events: DataFrame, days: int = 7) -> DataFrame:
+    """Events per day, type, shared key and user, as an update log; a day's state goes once it is ``days`` old.
+
+    Updates name the whole new count, so the last one of a key replaces the others.
+    """
+    return events.withWatermark("ts", f"{days} days").groupBy(
+        F.window("ts", "1 day").alias("w"), "event_type", "ip_key", "user_id").agg(F.count("*").alias("events")
+    ).select(F.col("w.start").cast("date").alias("day"), "event_type", "ip_key", "user_id", "events")
+
+
+def abuse_days(updates: DataFrame, days: int = 7) -> DataFrame:
+    """``day, event_type, events, users, max_users_per_ip_key`` over the ``days`` days that end with each day.
+
+    ``updates`` is the log of ``abuse_pairs``. Days up to the last one seen are
+    there, the current one included. Pairs of user and key are counted, not
+    events, so a key that very many events share moves one row per user and day.
+    """
+    newest = updates.groupBy("day", "event_type", "ip_key", "user_id").agg(F.max_by("events", "batch_id").alias("events"))
+    last = newest.agg(F.max("day")).scalar()
+    rolling = newest.withColumn(
+        "day", F.explode(F.sequence(F.col("day"), F.least(F.date_add("day", days - 1), last))))
+    per_user = rolling.groupBy("day", "event_type", "ip_key", "user_id").agg(F.sum("events").alias("events"))
+    widths = per_user.where("ip_key is not null").groupBy("day", "event_type", "ip_key").agg(F.count("*").alias("n")).groupBy(
+        "day", "event_type").agg(F.max("n").alias("max_users_per_ip_key"))
+    users = per_user.groupBy("day", "event_type", "user_id").agg(F.sum("events").alias("events")).groupBy(
+        "day", "event_type").agg(F.sum("events").alias("events"), F.count("*").alias("users"))
+    return users.join(widths, ["day", "event_type"], "left").fillna(0, ["max_users_per_ip_key"])
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:

@@ -121,3 +121,75 @@ def test_streamed_rows_are_appended_once(spark):
     query.awaitTermination()
     stored = spark.read.parquet(path)
     assert stored.count() == stored.select("user_id").distinct().count() == 3
+
+
+def state_rows(query):
+    return sum(operator["numRowsTotal"] for operator in query.lastProgress["stateOperators"])
+
+
+def test_leases_leave_no_state(spark):
+    path = scratch_path(spark, "in")
+    at = lambda hours: START + dt.timedelta(hours=hours)
+    write(spark, path, [(1, at(0), 1, "click", 1), (2, at(0.1), 2, "click", 1), (3, at(0.5), 1, "purchase", 0)])
+    write(spark, path, [(4, at(8), 3, "purchase", 0)])  # the lease of job 2 has run out
+    write(spark, path, [(5, at(9), 3, "purchase", 0)])
+    changes = stream(spark, path).select(
+        F.col("user_id").alias("job_id"), "event_id", "ts", (F.col("value") * 3600).cast("bigint").alias("lease_seconds"))
+    query, table = runs._run(keyed.lease_stream(changes, max_attempts=1), "leases", "append")
+    assert sorted((r.job_id, r.outcome) for r in table.collect()) == [(1, "completed"), (2, "failed")]
+    assert state_rows(query) == 0
+
+
+def test_budget_state_goes_with_the_day(spark):
+    path = scratch_path(spark, "in")
+    for day in range(4):
+        write(spark, path, [(10 * day + i, START + dt.timedelta(days=day, hours=i), 1, "click", 1) for i in range(5)])
+    units = F.lit(3).alias("units")
+    query, table = runs._run(keyed.budget_stream(stream(spark, path).select("*", units), 7), "budget", "append")
+    assert {r.event_id for r in table.where("reserved").collect()} == {10 * d + i for d in range(4) for i in (0, 1)}
+    assert state_rows(query) <= 2  # the last day, and the one that the watermark has not passed yet; with its timer
+
+
+def test_rolling_abuse_counts_over_micro_batches(spark):
+    rng, path, rows, n = random.Random(3), scratch_path(spark, "in"), [], 0
+    for b in range(3):
+        part = []
+        for _ in range(80):  # each batch reaches back into the days of the one before
+            at = START + dt.timedelta(days=3 * b + rng.randrange(6), minutes=rng.randrange(1440))
+            part.append((n, at, rng.randrange(6), rng.choice(["click", "view"]), rng.randrange(4)))
+            n += 1
+        write(spark, path, part)
+        rows += part
+    events = stream(spark, path).select(
+        "ts", "event_type", F.when(F.col("value") > 0, F.col("value").cast("string")).alias("ip_key"), "user_id")
+    got = windows.abuse_days(runs.run_to_table(windows.abuse_pairs(events), "abuse", mode="update")).collect()
+    last = max(r[1] for r in rows).date()
+    want = set()
+    for offset in range((last - START.date()).days + 1):
+        day = START.date() + dt.timedelta(days=offset)
+        for kind in ("click", "view"):
+            own = [r for r in rows if r[3] == kind and 0 <= (day - r[1].date()).days < 7]
+            widths = [len({r[2] for r in own if r[4] == k}) for k in range(1, 4)]
+            if own:
+                want.add((day, kind, len(own), len({r[2] for r in own}), max(widths)))
+    assert {(r.day, r.event_type, r.events, r.users, r.max_users_per_ip_key) for r in got} == want
+    assert max(r.day for r in got) == last
+
+
+def test_a_batch_reads_its_own_buckets_only(spark):
+    from fitgrid.sources.sinks import read_appended, stored_keys
+    path = scratch_path(spark, "sink")
+    rows = spark.range(500).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    append_new(rows, path, ["k"], [F.col("v")], "1")
+    placed = spark.read.parquet(path)
+    own = placed.where("k = 77").first().key_bucket
+    read = stored_keys(placed, ["k"], [own])
+    files = {r.f for r in read.select(F.input_file_name().alias("f")).collect()}
+    assert len(files) == 1 < len(placed.inputFiles())
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(key_bucket" in plan and "v" not in plan.split("ReadSchema: ")[1].split(">")[0]
+    append_new(spark.createDataFrame([(77, "b"), (900, "c")], rows.schema), path, ["k"], [F.col("v")], "2")
+    append_new(spark.createDataFrame([(77, "b"), (900, "c")], rows.schema), path, ["k"], [F.col("v")], "2")
+    stored = read_appended(spark, rows.schema, path)
+    assert stored.columns == ["k", "v"] and stored.count() == 501
+    assert [r.v for r in stored.where("k in (77, 900)").orderBy("k").collect()] == ["a", "c"]
