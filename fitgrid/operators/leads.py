@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +31,69 @@ def anchors(pages: DataFrame) -> DataFrame:
     ).where("link is not null")
 
 
-def posting_links(links: DataFrame, limit: int) -> DataFrame:
-    """Likely postings of a listing page in page order, at most ``limit`` per page."""
-    link, page, text = F.col("link"), F.col("url"), F.col("text")
-    place = U.decoded(F.concat(U.path(link), U.search(link)))
-    board = (U.site_kind(link) != "generic") & (U.path(link) != "/")
-    trimmed = F.regexp_replace(U.path(page), "/$", "")
-    own_list = ((U.site_kind(page) != "generic") & F.coalesce(U.is_listing(link), F.lit(False))
-                & (F.regexp_replace(U.path(link), "/$", "") != trimmed)
-                & F.startswith(U.path(link), F.concat(trimmed, F.lit("/"))))
-    same = U.origin(link) == U.origin(page)
-    accepted = (same & (F.coalesce(U.is_posting_link(link, page), F.lit(False)) | own_list
-                        | (text.rlike(U.JOB_LINK_TEXT) & place.rlike(U.CAREER_PATH)))) | (~same & board)
-    rows = links.where((U.scheme(link) == "https") & ~U.decoded(U.path(link)).rlike(U.NOT_JOB_PATH) & accepted)
-    first = rows.groupBy("page_id", "link").agg(F.min("position").alias("position"))
+# Labels of a domain that do not name the employer, and how long a naming one is at least.
+_NO_BRAND = r"^(?:www|global|group|corp|corporate|careers?|jobs?|recruit|saiyo|info|online)$"
+_BRAND_CHARS = 4
+
+# Which kinds of links count, by where they lead.
+_ACCEPTED = {"same site": ("posting", "list", "worded"), "board": ("any",), "own careers site": ("any",), "elsewhere": ()}
+
+
+def brands(domains: DataFrame) -> DataFrame:
+    """``page_id, brand``: labels of a page's official domains (``page_id, domain``) that name the employer."""
+    labels = domains.select("page_id", F.explode(F.split(F.lower("domain"), r"\.")).alias("brand"))
+    return labels.where((F.char_length("brand") >= _BRAND_CHARS) & ~F.col("brand").rlike(_NO_BRAND)).distinct()
+
+
+def own_careers_links(links: DataFrame, domains: DataFrame) -> DataFrame:
+    """``page_id, link`` of careers links to another domain that carries the employer's brand as a label.
+
+    Labels of the link's host meet the page's brands by an equal join.
+    """
+    named = links.where(F.concat(U.host(F.col("link")), U.decoded(U.path(F.col("link")))).rlike(U.CAREER)).select(
+        "page_id", "link", F.explode(F.array_distinct(F.split(U.host(F.col("link")), "[.-]"))).alias("brand"))
+    return named.join(brands(domains), ["page_id", "brand"], "left_semi").select("page_id", "link").distinct()
+
+
+def classified_links(links: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """``links`` with ``leads_to`` (a key of the table above) and ``looks_like``, the kinds a link belongs to.
+
+    ``domains`` names the official domains of a page's employer; without it no
+    other site is the employer's own.
+    """
+    link, page = F.col("link"), F.col("url")
+    on_board = (U.site_kind(link) != "generic") & (U.path(link) != "/")
+    if domains is None:
+        known = links.withColumn("own", F.lit(False))
+    else:
+        own = own_careers_links(links, domains).withColumn("own", F.lit(True))
+        known = links.join(own, ["page_id", "link"], "left")
+    bare = F.regexp_replace(U.path(page), "/$", "")
+    deeper = (F.regexp_replace(U.path(link), "/$", "") != bare) & F.startswith(U.path(link), F.concat(bare, F.lit("/")))
+    kinds = {
+        "any": F.lit(True),
+        "posting": U.is_posting_link(link, page),
+        "list": (U.site_kind(page) != "generic") & U.is_listing(link) & deeper,
+        "worded": F.col("text").rlike(U.JOB_LINK_TEXT) & U.decoded(F.concat(U.path(link), U.search(link))).rlike(U.CAREER_PATH),
+    }
+    return known.withColumn(
+        "leads_to", F.when(U.origin(link) == U.origin(page), "same site").when(on_board, "board")
+        .when(F.col("own"), "own careers site").otherwise("elsewhere")
+    ).withColumn("looks_like", F.array_compact(F.array(*[F.when(holds, name) for name, holds in kinds.items()]))).drop("own")
+
+
+def posting_links(links: DataFrame, limit: int, domains: DataFrame | None = None) -> DataFrame:
+    """Likely postings of a listing page in page order, at most ``limit`` per page.
+
+    Links on the page's own site count by what they look like; a page may hand
+    over to a job board, or to the employer's careers site on another domain
+    where ``domains`` (``page_id, domain``) says which are official.
+    """
+    rows = classified_links(
+        links.where((U.scheme(F.col("link")) == "https") & ~U.decoded(U.path(F.col("link"))).rlike(U.NOT_JOB_PATH)), domains)
+    accepted = [(F.col("leads_to") == where) & F.arrays_overlap("looks_like", F.array(*map(F.lit, kinds)))
+                for where, kinds in _ACCEPTED.items() if kinds]
+    first = rows.where(reduce(Column.__or__, accepted)).groupBy("page_id", "link").agg(F.min("position").alias("position"))
     return top_per_key(first, ["page_id"], [F.col("position").asc()], limit, rank="link_rank")
 
 

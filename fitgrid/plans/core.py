@@ -26,9 +26,8 @@ def axis_comparison(d: Domain):
 
 
 @query("axis_range_comparison", twin("""
-    select r.match_result_id, r.axis_key, i.anchor_value, i.anchor_max, r.comparison_status, r.difference, r.difference_max
-    from axis_results r join axis_inputs i on i.match_result_id = r.match_result_id and i.axis_key = r.axis_key
-    where i.observation_status = 'range'"""))
+    select match_result_id, axis_key, anchor_value, anchor_max, comparison_status, difference, difference_max
+    from axis_results where observation_status = 'range'"""))
 def axis_range_comparison(d: Domain):
     ranged = d.evaluated_axis_values.where("observation_status = 'range'")
     return comparisons_with(d, ranged).where("observation_status = 'range'").select(
@@ -253,12 +252,12 @@ def latest_completed_profile(d: Domain):
 
 
 @query("profile_revisions", twin("""
-    select s.user_id, s.profile_version_id, s.previous as previous_profile_version_id, n.axis_key,
-      n.preference - o.preference as preference_change, n.importance - o.importance as importance_change
-    from (select user_id, profile_version_id, lag(profile_version_id) over (partition by user_id order by version) as previous
-      from profile_versions where status = 'completed') s
-    join profile_axis_values n on n.profile_version_id = s.profile_version_id
-    join profile_axis_values o on o.profile_version_id = s.previous and o.axis_key = n.axis_key"""))
+    select * from (
+      select p.user_id, p.profile_version_id, lag(p.profile_version_id) over w as previous_profile_version_id, v.axis_key,
+        v.preference - lag(v.preference) over w as preference_change, v.importance - lag(v.importance) over w as importance_change
+      from profile_versions p join profile_axis_values v on v.profile_version_id = p.profile_version_id where p.status = 'completed'
+      window w as (partition by p.user_id, v.axis_key order by p.version)) z
+    where previous_profile_version_id is not null"""))
 def profile_revisions(d: Domain):
     return history.profile_revisions(d.profile_versions, d.profile_axis_values)
 

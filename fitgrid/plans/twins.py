@@ -106,7 +106,7 @@ DEFINITIONS: dict[str, str] = {
         join profile_axis_values v on v.profile_version_id = m.profile_version_id and v.axis_key = a.axis_key
         left join evaluated_axis_values o on o.evaluation_id = m.evaluation_id and o.axis_key = a.axis_key""",
     "axis_results": """
-        select match_result_id, axis_key, preference, importance,
+        select match_result_id, axis_key, preference, importance, observation_status, anchor_value, anchor_max,
           case when importance = 0 then 'excluded'
             when observation_status = 'known' then case when abs(preference - anchor_value) <= 25 then 'close' else 'different' end
             when observation_status = 'range' then

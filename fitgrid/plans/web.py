@@ -187,10 +187,12 @@ def ats_board_union(d: Domain):
 
 # Links ---------------------------------------------------------------------------------------
 
+def a(href, words):
+    return text('<li><a class="x" href="', href, '"><b>', words, "</b></a></li>")
+
+
 def listing_pages(d: Domain) -> DataFrame:
     s = F.col("s_suppkey")
-    def a(href, words):
-        return text('<li><a class="x" href="', href, '"><b>', words, "</b></a></li>")
     html = F.concat(
         S("<html><body><ul>"), a(text("/recruit/jobs/", s, "1"), "エンジニア"), a(text("jobs/", s, "2#apply"), "営業"),
         F.when(s % 4 != 0, a(text("/recruit/jobs/", s, "3"), "x")).otherwise(""),
@@ -215,6 +217,23 @@ def posting_links(d: Domain):
     return leads.posting_links(leads.anchors(listing_pages(d)), limit=4).select("page_id", "link", "link_rank")
 
 
+@query("related_posting_links", twin("""
+    select page_id, link, row_number() over (partition by page_id order by n) as link_rank from (
+      select * from links where n <= 4
+      union all select s_suppkey, 10, 'https://jp-saiyo.corp' || s_suppkey || '.careers/jobs/7' from supplier
+      union all select s_suppkey, 12, 'https://corp' || s_suppkey || '-recruit.example.com/x' from supplier) z""", extra=_LINKS))
+def related_posting_links(d: Domain):
+    """The same lists with hand-overs to the employer's careers sites on other domains, and one to a stranger's."""
+    pages = listing_pages(d)
+    s = F.col("page_id")
+    more = F.concat(
+        a(text("https://jp-saiyo.corp", s, ".careers/jobs/7"), "x"), a(text("https://corp", s + 1, ".careers/jobs/8"), "x"),
+        a(text("https://corp", s, "-recruit.example.com/x"), "x"), a(text("https://corp", s, "-news.example.com/x"), "x"))
+    pages = pages.withColumn("html", F.concat(F.expr("substr(html, 1, instr(html, '</ul>') - 1)"), more, F.lit("</ul></body></html>")))
+    domains = pages.select("page_id", text("corp", s, ".co.jp").alias("domain"))
+    return leads.posting_links(leads.anchors(pages), limit=9, domains=domains).select("page_id", "link", "link_rank")
+
+
 @query("career_links", twin("""
     select page_id, link, case n when 4 then 0 when 5 then 2 else 1 end as lead_rank from links where n <= 5""", extra=_LINKS))
 def career_links(d: Domain):

@@ -116,6 +116,37 @@ def test_links_are_resolved_and_read_decoded(spark):
     assert [r.lead_rank for r in leads.career_links(links).collect()] == [1] and leads.posting_links(links, 9).count() == 1
 
 
+def test_hand_over_to_the_employers_other_domain(spark):
+    page = "https://corp.sample.co.jp/careers/midcareer/"
+    html = """<a href="https://japan-job-jp.sample.careers/%E6%88%A6%E7%95%A5?l-id=1">s</a> <a href="/%E3%82%B8%E3%83%A7%E3%83%96/1/2">k</a>
+      <a href="https://news.example/careers/x">News</a> <a href="https://sample.careers/about/x">no</a> <a href="https://sample.example/x">no</a>"""
+    links = leads.anchors(spark.createDataFrame([(1, page, html)], "page_id int, url string, html string"))
+    own = "https://corp.sample.co.jp/%E3%82%B8%E3%83%A7%E3%83%96/1/2"
+    def found(domains):
+        rows = spark.createDataFrame([(1, x) for x in domains], "page_id int, domain string")
+        return [r.link for r in leads.posting_links(links, 10, rows).orderBy("link_rank").collect()]
+    other = "https://japan-job-jp.sample.careers/%E6%88%A6%E7%95%A5?l-id=1"
+    assert [r.link for r in leads.posting_links(links, 10).collect()] == [own]
+    assert found(["corp.sample.co.jp"]) == [other, own]
+    assert found(["www.jobs.co.jp", "else.jp"]) == [own]  # labels that name nobody, and another employer
+
+
+def test_rules_of_job_sites(spark):
+    urls = {
+        "https://hrmos.co/pages/a/jobs/12": ("hrmos", False, True), "https://hrmos.co/pages/a/jobs/": ("hrmos", True, False),
+        "https://herp.careers/v1/a": ("herp", True, False), "https://herp.careers/v1/a/abcd": ("herp", False, True),
+        "https://jobs.lever.co/acme": ("hosted-ats", True, True), "https://jobs.lever.co/acme/jobs/1": ("hosted-ats", False, True),
+        "https://jobs.lever.co/": ("hosted-ats", True, False), "https://a.jp/recruit/x": ("generic", True, None),
+        "https://a.jp/recruit/1/2/3/4/5": ("generic", False, None), "https://a.jp/ir": ("generic", False, None)}
+    assert list(zip(*(ask(spark, f, *urls) for f in (U.site_kind, U.is_listing, U.is_posting)))) == list(urls.values())
+    pairs = [("https://hrmos.co/pages/a/jobs/1", "https://hrmos.co/pages/a/jobs", True), ("https://hrmos.co/pages/b/jobs/1", "https://hrmos.co/pages/a/jobs", False),
+             ("https://herp.careers/v1/a/abcd", "https://herp.careers/v1/a", True), ("https://herp.careers/v1/b/abcd", "https://herp.careers/v1/a", False),
+             ("https://a.jp/jobs/1", "https://a.jp/jobs", True), ("https://a.jp/recruit/x", "https://a.jp/recruit", True),
+             ("https://a.jp/recruit", "https://a.jp/", False), ("https://a.jp/jobs/1", "https://a.jp/jobs/1", False)]
+    df = spark.createDataFrame(pairs, "link string, page string, want boolean")
+    assert [r.got for r in df.select(U.is_posting_link(F.col("link"), F.col("page")).alias("got")).collect()] == [p[2] for p in pairs]
+
+
 def test_reachable_pages_are_cut_by_a_named_budget_only(spark):
     start = spark.createDataFrame([(1, "https://www.acme.co.jp/", "www.acme.co.jp")], "company_id int, url string, domain string")
     links = spark.createDataFrame(
