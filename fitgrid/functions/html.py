@@ -5,17 +5,21 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_SKIPPED = frozenset("script style template nav footer noscript".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_BLOCKS = frozenset("p li pre blockquote td th dd dt".split())
+# Tags that end themselves, are passed over, head a section, or hold a piece of text.
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+_SKIPPED = frozenset(("script", "style", "template", "nav", "footer", "noscript"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_BLOCKS = frozenset(("p", "li", "pre", "blockquote", "td", "th", "dd", "dt"))
 # An opening tag on the left ends an open element of the right.
 _ENDS = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
 }
-_ENDS_P = frozenset("p div ul ol dl table section article main header h1 h2 h3 h4 h5 h6 pre blockquote form hr".split())
-_SCOPES = frozenset("ul ol dl table body main section article div html".split())
+_ENDS_P = frozenset((
+    "p", "div", "ul", "ol", "dl", "table", "section", "article", "main", "header",
+    "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "form", "hr",
+))
+_SCOPES = frozenset(("ul", "ol", "dl", "table", "body", "main", "section", "article", "div", "html"))
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPACE = re.compile(r"\s+")
 

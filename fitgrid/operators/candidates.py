@@ -174,12 +174,16 @@ def valid_selections(selections: DataFrame, ranked: DataFrame) -> DataFrame:
 
 # Registries and official sites ---------------------------------------------------------------
 
+# Second levels of national domains under which names are registered.
+_SECOND_LEVELS = ("co", "ne", "or", "ac", "go", "ed", "com", "net", "org")
+
+
 def registrable_domain(host: Column) -> Column:
     """Last two labels, or three under a national second level such as co.jp."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     second = F.element_at(labels, F.when(n >= 2, -2).otherwise(-1))
-    three = ((n >= 3) & second.isin("co", "ne", "or", "ac", "go", "ed", "com", "net", "org")
+    three = ((n >= 3) & second.isin(*_SECOND_LEVELS)
              & (F.length(F.element_at(labels, -1)) == 2))
     take = F.least(n, F.when(three, 3).otherwise(2))
     return F.array_join(F.slice(labels, n - take + 1, take), ".")

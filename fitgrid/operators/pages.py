@@ -81,7 +81,7 @@ def page_snapshots(pages: DataFrame, texts: DataFrame, bucket: int = 4096) -> Da
 
 _LD_SCRIPT = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 # The declared employment types that are kept.
-_TYPES = "FULL_TIME PART_TIME CONTRACTOR TEMPORARY INTERN VOLUNTEER PER_DIEM OTHER".split()
+_TYPES = ("FULL_TIME", "PART_TIME", "CONTRACTOR", "TEMPORARY", "INTERN", "VOLUNTEER", "PER_DIEM", "OTHER")
 
 
 def _items(node: Column) -> Column:
