@@ -139,13 +139,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100
         used[np.flatnonzero(used)[np.argmin(w[1:])]] = False
 
 
-def telling_features(holders: np.ndarray, documents: np.ndarray, false_share: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def telling_features(
+    holders: np.ndarray, documents: np.ndarray, false_share: float = 0.1, rarest: float = 0.001,
+) -> tuple[np.ndarray, np.ndarray]:
     """(speak for toxicity, tell anything at all) from ``holders[class, feature]`` among ``documents[class]`` texts.
 
     If a feature were as frequent in both classes, its toxic holders would be a
     draw from all its holders; the divergence of what is seen from what is drawn,
-    times the holders, bounds the logarithm of that chance. Of the features that
-    could pass at all, those are taken whose share of false ones is bounded by
+    times the holders, bounds the logarithm of that chance. Features with too few
+    holders to reach a chance of ``rarest`` whatever their classes are not
+    tested. Of the others those are taken whose share of false ones is bounded by
     ``false_share`` (step-up over the sorted chances), so the demand rises with
     the number of features, and how many texts of a class have been seen decides
     what a count is worth.
@@ -156,7 +159,7 @@ def telling_features(holders: np.ndarray, documents: np.ndarray, false_share: fl
     expected = np.stack((total * (1 - share), total * share))
     with np.errstate(divide="ignore", invalid="ignore"):
         evidence = np.where(holders > 0, holders * np.log(holders / expected), 0.0).sum(axis=0)
-    able = total * -math.log(min(share, 1 - share)) >= -math.log(false_share)
+    able = total * -math.log(min(share, 1 - share)) >= -math.log(rarest)
     order = np.argsort(-np.where(able, evidence, -1.0), kind="stable")
     tested = max(1, int(able.sum()))
     passes = evidence[order] >= np.log(tested / (false_share * np.arange(1, len(order) + 1)))
@@ -252,6 +255,7 @@ def _fit_field(texts: Sequence[str], labels: np.ndarray, rounds: int) -> SpanTag
 
 def fit_tagger(
     texts: Sequence[str], toxic: Sequence[int], rounds: int = 40, labelled: Sequence[int] | None = None, fold: int = 4,
+    least_apart: int = 50,
 ) -> SpanTagger:
     """Train on labelled documents.
 
@@ -264,7 +268,8 @@ def fit_tagger(
 
     The map from marginals to a score is fitted on every ``fold``-th text of each
     class, which the field has not seen: there a word that only chance made
-    telling tells nothing. ``labelled`` counts the texts of each class that the
+    telling tells nothing. Where that leaves fewer than ``least_apart`` texts of a
+    class to judge by, all texts serve both ends. ``labelled`` counts the texts of each class that the
     sample stands for; its classes weigh as they do there, so that scores do not
     depend on how many of each were taken.
     """
@@ -273,7 +278,7 @@ def fit_tagger(
     for label in (0, 1):
         number[labels == label] = np.arange((labels == label).sum())
     apart = number % fold == fold - 1
-    if len(set(labels[apart].tolist())) < 2:  # too few to set any apart
+    if min(np.bincount(labels[apart], minlength=2)) < least_apart:
         apart[:] = False
     learn = np.flatnonzero(~apart)
     tagger = _fit_field([texts[i] for i in learn], labels[learn], rounds)
