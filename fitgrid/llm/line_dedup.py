@@ -32,18 +32,29 @@ def drop_bitmaps(documents: DataFrame, min_chars: int = 20, min_documents: int =
     Hashes are range-partitioned by (hash, document descending), so the lines of
     one document that share a key stay together while a frequent key runs over
     as many ranges as it fills. Within a range rows are sorted by hash, document
-    and position, and read in that order: first into one row per holder, then
-    into one partial count per key and range. Only these counts are shuffled by
-    key, so no task ever gets all rows of a frequent line.
+    and position, so the first row of a key is its largest document there. Each
+    range gives one row per key: that document and the number of holders. Only
+    the first and the last key of a range can go on in another one; for these few
+    keys, two per range, the rows of all ranges are put together. The result goes
+    back to the holders by range and key, so the holders of a frequent line are
+    spread over its ranges and no task ever gets all of them.
     """
     order = ["h1", "h2", F.col("doc_id").desc()]
     ranged = stored(line_keys(documents, min_chars), "line-keys").repartitionByRange(
-        *order).sortWithinPartitions(*order, "pos")
+        *order).sortWithinPartitions(*order, "pos").withColumn("range", F.spark_partition_id())
     holders = stored(ranged.groupBy("h1", "h2", "doc_id").agg(
-        F.collect_list(F.struct("print", "pos")).alias("places")), "line-holders")
-    repeated = holders.groupBy("h1", "h2").agg(
-        F.max("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    dropped = holders.join(repeated, ["h1", "h2"]).where(F.col("doc_id") < F.col("first")).select(
+        F.min("range").alias("range"), F.collect_list(F.struct("print", "pos")).alias("places")), "line-holders")
+    in_range = stored(holders.groupBy("range", "h1", "h2").agg(
+        F.max("doc_id").alias("first"), F.count("*").alias("n")), "line-ranges")
+    key = F.struct("h1", "h2")
+    ends = in_range.groupBy("range").agg(F.min(key).alias("low"), F.max(key).alias("high")).select(
+        F.explode(F.array("low", "high")).alias("key")).select("key.*").distinct()
+    across = in_range.join(ends, ["h1", "h2"], "left_semi")
+    whole_keys = across.groupBy("h1", "h2").agg(F.max("first").alias("first"), F.sum("n").alias("n"))
+    repeated = in_range.join(ends, ["h1", "h2"], "left_anti").unionByName(
+        across.select("range", "h1", "h2").join(whole_keys, ["h1", "h2"])
+    ).where(F.col("n") >= min_documents).drop("n")
+    dropped = holders.join(repeated, ["range", "h1", "h2"]).where(F.col("doc_id") < F.col("first")).select(
         "doc_id", F.explode("places").alias("place")).select(
         "doc_id", "place.print", F.floor(F.col("place.pos") / _BITS).cast("int").alias("word"),
         F.expr(f"shiftleft(1L, cast(place.pos % {_BITS} as int))").alias("bit"))
