@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -181,19 +182,32 @@ class _Coded:
             coded.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
         self.lengths = np.asarray([len(c) for c in coded], np.int64)
         self.ids = np.concatenate([np.zeros(0, np.int32), *coded])
+        del coded
+        self.vocabulary = list(vocabulary)
         self.words = len(vocabulary)
-        names: dict[str, int] = {}
-        rows, columns = [], []
-        for word, i in vocabulary.items():
+        # features by 64-bit hash: their names would take more room than all the rest
+        hashes, sizes = array("q"), array("q")
+        for word in self.vocabulary:
+            found = token_features(word)
+            hashes.extend(map(hash, found))
+            sizes.append(len(found))
+        self.rows = np.repeat(np.arange(self.words, dtype=np.int32), np.asarray(sizes, np.int64))
+        self.hashes, columns = np.unique(np.asarray(hashes, np.int64), return_inverse=True)
+        self.columns = columns.astype(np.int32)
+
+    def names(self, used: np.ndarray) -> list[str]:
+        """The features that ``used`` marks, in their order."""
+        place = {h: i for i, h in enumerate(self.hashes[used].tolist())}
+        out = [""] * len(place)
+        for word in self.vocabulary:
             for f in token_features(word):
-                rows.append(i)
-                columns.append(names.setdefault(f, len(names)))
-        self.names = list(names)
-        self.rows, self.columns = np.asarray(rows, np.int32), np.asarray(columns, np.int32)
+                if (i := place.get(hash(f))) is not None:
+                    out[i] = f
+        return out
 
     def holders(self, labels: np.ndarray) -> np.ndarray:
         """How many texts of each class hold a feature."""
-        seen = np.zeros((2, len(self.names)))
+        seen = np.zeros((2, len(self.hashes)))
         first = np.concatenate(([0], np.cumsum(np.bincount(self.rows, minlength=self.words))))
         ends = np.cumsum(self.lengths)
         for end, n, label in zip(ends, self.lengths, labels, strict=True):
@@ -209,7 +223,7 @@ def _fit_field(texts: Sequence[str], labels: np.ndarray, rounds: int) -> SpanTag
     coded = _Coded(texts)
     ids, lengths, rows, columns, words = coded.ids, coded.lengths, coded.rows, coded.columns, coded.words
     strong, useful = telling_features(coded.holders(labels), np.bincount(labels, minlength=2))
-    names = [f for f, used in zip(coded.names, useful, strict=True) if used]
+    names = coded.names(useful)
     del coded
     renumber = np.full(len(useful), -1)
     renumber[useful] = np.arange(useful.sum())
@@ -364,7 +378,8 @@ def training_rows(
         "number", "pick", "doc_id", "mark", "toxic", "chars"), "training-candidates")
     chosen = documents.sparkSession.createDataFrame(_fill(candidates, per_class, max_chars), candidates.schema)
     rows = texts.join(F.broadcast(chosen), key).groupBy(*key, "toxic").agg(F.min("text").alias("text"))
-    return rows.orderBy("doc_id", "toxic", "mark").select("doc_id", "text", "toxic").collect()
+    ordered = rows.orderBy("doc_id", "toxic", "mark").select("doc_id", "text", "toxic")
+    return list(ordered.toLocalIterator())  # part by part: all parts at once would stand in the driver's buffers together
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
