@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fitgrid.bindings import tokyo_day
 from fitgrid.functions.axes import tenths
 from fitgrid.operators.history import latest_completed_profiles
-from fitgrid.operators.keyed import split_running_sum
+from fitgrid.operators.keyed import moved, split_running_sum
 from fitgrid.schemas import MIN_COHORT
 
 
@@ -83,7 +83,7 @@ def cohort_axis_distribution(
         "user_id", "profile_version_id", "axis_catalog_version")
     members = years.join(latest, "user_id")
     return (
-        profile_axis_values.join(members, "profile_version_id")
+        moved(profile_axis_values).join(members, "profile_version_id")
         .groupBy("graduation_year", "axis_catalog_version", "axis_key")
         .agg(F.count("*").alias("users"), F.sum("preference").alias("p"), F.sum("importance").alias("i"))
         .where(F.col("users") >= minimum)
