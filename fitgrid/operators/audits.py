@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitgrid.operators.keyed import moved
 from fitgrid.schemas import AXES
 
 
@@ -103,10 +104,10 @@ def payload_audit(axis_rows: DataFrame, evidence: DataFrame, fragments: DataFram
     ``evidence``: (document_id, axis_key, position).
     """
     there = fragments.select("document_id", "position").distinct().withColumn("there", F.lit(True))
-    cited = evidence.join(there, ["document_id", "position"], "left").groupBy("document_id", "axis_key").agg(
+    cited = evidence.join(moved(there), ["document_id", "position"], "left").groupBy("document_id", "axis_key").agg(
         F.count("*").alias("cited"), F.count_if(F.col("there").isNull()).alias("dangling"))
     status, low, high = F.col("status"), F.col("anchor_value"), F.col("anchor_max")
-    rows = axis_rows.join(cited, ["document_id", "axis_key"], "left").groupBy("document_id").agg(
+    rows = axis_rows.join(moved(cited), ["document_id", "axis_key"], "left").groupBy("document_id").agg(
         F.count_distinct("axis_key").alias("axes"),
         F.bool_or(status.isin("known", "range") & (F.coalesce("cited", F.lit(0)) == 0)).alias("unsupported"),
         F.bool_or(F.coalesce("dangling", F.lit(0)) > 0).alias("dangling"),
