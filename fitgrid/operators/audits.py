@@ -32,8 +32,8 @@ def profile_audit(
         F.count("*").alias("roles"), F.count_distinct(text).alias("distinct_roles"),
         F.bool_or(text == "").alias("blank_role"))
     rows = (
-        versions.where("status = 'completed'").join(axes, key, "left").join(named, key, "left")
-        .join(constraints, key, "left")
+        versions.where("status = 'completed'").join(moved(axes), key, "left").join(moved(named), key, "left")
+        .join(moved(constraints), key, "left")
     )
     codes = F.col("allowed_prefectures")
     return _violations(rows, key, {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fitgrid.bindings import Domain, ntz
 from fitgrid.functions import urls as U
 from fitgrid.operators import audits, privacy
+from fitgrid.operators.keyed import moved
 from fitgrid.plans.core import comparisons, constraint_inputs
 from fitgrid.operators import matching
 from fitgrid.plans.registry import query
@@ -41,8 +42,8 @@ def load_tables_report(d: Domain):
 def profile_audit(d: Domain):
     """The audit over profiles into which some broken rows were written."""
     k = F.col("profile_version_id")
-    axes = d.profile_axis_values.join(d.profile_versions.select("profile_version_id", "axis_catalog_version"),
-                                      "profile_version_id").where((k % 97 != 0) | (F.col("axis_key") != "autonomy"))
+    axes = moved(d.profile_axis_values).join(
+        d.profile_versions.select("profile_version_id", "axis_catalog_version"), "profile_version_id").where((k % 97 != 0) | (F.col("axis_key") != "autonomy"))
     axes = axes.select(
         "profile_version_id", "axis_key", "importance",
         F.when((k % 89 == 0) & (F.col("axis_key") == "work_change"), 101).otherwise(F.col("preference")).alias("preference"),
