@@ -103,3 +103,37 @@ def test_moved_sources_carry_the_day_and_not_its_hash(spark):
 def test_history_carries_only_the_constraint_it_reads(spark):
     plan = QUERIES["analysis_history_page"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "allowed_prefectures" not in plan and "full_remote_required" not in plan
+
+
+def test_snapshots_meet_every_row_of_their_axis(spark):
+    """Repeated and missing answers and observations count as in a left join."""
+    stored = spark.createDataFrame(
+        [(1, 5, 10, "a", 50, 25, "known", 0, None), (1, 5, 10, "b", 50, 25, "unknown", None, None),
+         (2, 6, 11, "a", 50, 25, "unknown", None, None), (2, 6, 11, None, 50, 25, "unknown", None, None)],
+        "match_result_id bigint, profile_version_id bigint, evaluation_id bigint, axis_key string, preference int, "
+        "importance int, observation_status string, anchor_value int, anchor_max int")
+    answers = spark.createDataFrame(
+        [(5, "a", 50, 25), (5, "a", 51, 25), (5, "b", 50, 25), (6, None, 50, 25)],
+        "profile_version_id bigint, axis_key string, preference int, importance int")
+    seen = spark.createDataFrame(
+        [(10, "a", "known", 0, None), (10, "a", "stale", 50, None)],
+        "evaluation_id bigint, axis_key string, observation_status string, anchor_value int, anchor_max int")
+    rows = matching.snapshot_mismatches(stored, answers, seen).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([
+        (1, "a", False, True), (1, "a", True, False), (1, "a", True, True),
+        (2, "a", True, False), (2, None, True, False)], key=str)
+
+
+def test_snapshots_move_as_one_row_a_match(spark):
+    plan = QUERIES["match_snapshot_mismatch"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*axis_key", plan)
+
+
+def test_shares_with_axes_or_statuses_of_their_own_are_kept(spark):
+    rows = [(m, i, f"{a}!" if m == 2 else a, "odd" if m == 3 else None if m == 4 else "partial")
+            for m in (1, 2, 3, 4) for i, a in enumerate(AXES)]
+    comparisons = spark.createDataFrame(
+        rows, "match_result_id bigint, axis_idx int, axis_key string, comparison_status string")
+    names = spark.createDataFrame([(m, "C") for m in (1, 2, 3, 4)], "match_result_id bigint, company_name string")
+    got = {r.match_result_id: [tuple(a) for a in r.axes] for r in matching.share_projections(comparisons, names).collect()}
+    assert got == {m: [(k, s) for n, _, k, s in rows if n == m] for m in (1, 2, 3, 4)}
