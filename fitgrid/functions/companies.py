@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,11 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Compatibility normal form; Spark has no expression for it. Use it once per stored name."""
-    for batch in batches:
-        yield batch.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
+def _nfkc(batch: pd.Series) -> pd.Series:
+    """Compatibility normal form; Spark has no expression for it. Use it once per stored name.
+
+    Filters on the result stay above it and names folded side by side share one
+    call, so a task runs one Python worker for it and not one per use.
+    """
+    return batch.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
+
+
+# the result is the same every time; the mark only keeps the optimizer from repeating the call
+nfkc = F.pandas_udf(_nfkc, StringType()).asNondeterministic()
 
 
 # Legal forms and punctuation that do not tell companies apart.

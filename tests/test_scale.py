@@ -137,3 +137,25 @@ def test_shares_with_axes_or_statuses_of_their_own_are_kept(spark):
     names = spark.createDataFrame([(m, "C") for m in (1, 2, 3, 4)], "match_result_id bigint, company_name string")
     got = {r.match_result_id: [tuple(a) for a in r.axes] for r in matching.share_projections(comparisons, names).collect()}
     assert got == {m: [(k, s) for n, _, k, s in rows if n == m] for m in (1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("name", [
+    "rank_candidates", "candidate_selector", "resolution_decision", "registry_site_match", "official_sites"])
+def test_names_are_folded_once_in_a_task(spark, monkeypatch, name):
+    """Every evaluation in Python takes a worker of its own in each running task."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+    monkeypatch.setattr("fitgrid.plans.resolve.checkpointed", seen)
+    seen(QUERIES[name](spark, SMALL))
+    for lines in (plan.splitlines() for plan in plans):
+        found = [(i, line.index("ArrowEvalPython")) for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+        assert found
+        for i, depth in found:
+            for line in lines[i + 1:]:  # down to the next shuffle, which begins another task
+                at = re.search(r"[A-Z]", line).start()
+                if at <= depth or "Exchange" in line:
+                    break
+                assert "ArrowEvalPython" not in line, name
