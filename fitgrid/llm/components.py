@@ -14,31 +14,35 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
     Rounds of two star steps: every id sends its larger neighbours, then its
     smaller ones, to its smallest neighbour. Stars end up with the smallest id
     of their component in the middle, after a number of rounds that grows with
-    the logarithm of the longest chain. Each round is written to the shared
-    folder; one row of counts per round is all that reaches the driver. A hub's
-    links are summed before they are shuffled, and its join can be split.
+    the logarithm of the longest chain. Each round is written once to the shared
+    folder, and one row of it reaches the driver: whether an id is not yet in a
+    star. A hub's links are summed before they are shuffled, and its join can be
+    split.
     """
-    edges = stored(_ordered(links.select(F.col("a").cast("long"), F.col("b").cast("long"))), label)
-    seen = None
+    edges = _ordered(links.select(F.col("a").cast("long"), F.col("b").cast("long")))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = _ordered(both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        large = stored(down, label)
+        # every row names the larger id first: b > a >= m
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         edges = stored(_ordered(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(lowest.select("a", F.col("m").alias("b")))), label)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if _stars(edges):
             break
-        seen = now
-    # converged: every edge runs from a larger id to the middle of its star
-    members = edges.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("component"))
+    members = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("id"), "component").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge runs from a larger id, which has no other, to one that has only such edges: its component's smallest."""
+    roles = edges.select(F.col("a").alias("id"), F.lit(1).alias("n"), F.lit(0).alias("middle")).unionByName(
+        edges.select(F.col("b").alias("id"), F.lit(0).alias("n"), F.lit(1).alias("middle")))
+    open_ids = roles.groupBy("id").agg(F.sum("n").alias("n"), F.max("middle").alias("middle")).where("n + middle > 1")
+    return open_ids.agg(F.count("*")).first()[0] == 0
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").distinct()

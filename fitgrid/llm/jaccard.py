@@ -19,6 +19,7 @@ from fitgrid.llm.tokens import text_batches
 
 _NOBODY = 65535
 _BATCH_HASHES = 500_000
+_BLOCK_POINTS, _BLOCK_PIVOTS = 128, 32
 _SLACK = 1e-9
 
 
@@ -196,6 +197,12 @@ def _rare_prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     return batches.join(answers, "batch").mapInPandas(prefixes, "id long, h long, rest long")
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return np.count_nonzero(x[at] == y)
+
+
 def _distances(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """Exact Jaccard distances of distinct pairs ``a, b`` (other columns are kept): ``d``, and ``linked`` on whole numbers."""
     extra = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
@@ -208,9 +215,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
             union = np.empty(len(frame), np.int64)
             for i, (x, y) in enumerate(zip(frame.pop("ha"), frame.pop("hb"), strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                same[i] = np.count_nonzero(x[at] == y)
+                same[i] = _common(x, y)
                 union[i] = len(x) + len(y) - same[i]
             yield frame.assign(same=same, all=union)
 
@@ -220,6 +225,45 @@ def _distances(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         "d", 1 - F.col("same") / F.col("all")), label)
 
 
+def _point_distances(tested: DataFrame, sides: DataFrame, regions: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """Exact distances ``d`` of points ``a`` of a region ``home`` to the pivots ``b`` of others, as ``_distances`` gives them.
+
+    A region of very many points may meet very many pivots. Its points and its
+    pivots are dealt into blocks, and a set moves once for each block of the
+    other kind, not once for each pair.
+    """
+    points = regions.groupBy("region").agg(F.ceil(F.count("*") / _BLOCK_POINTS).alias("of_points"))
+    blocks = sides.groupBy("home").agg(F.ceil(F.count("*") / _BLOCK_PIVOTS).alias("of_pivots")).join(
+        points.withColumnRenamed("region", "home"), "home")
+    keys = ["home", "block_a", "block_b"]
+    block_a, block_b = (F.pmod(F.xxhash64(c), F.col(n)).alias(f"block_{c}") for c, n in (("a", "of_points"), ("b", "of_pivots")))
+    kept = [c for c in tested.columns if c != "b"]
+    asked = tested.join(blocks, "home").select(*kept, "b", block_a, block_b).groupBy(
+        *kept, "block_a", "block_b").agg(F.collect_list("b").alias("bs"))
+    left = asked.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    right = sides.select("home", F.col("other").alias("b"), F.col("q.radius").alias("r_other")).join(blocks, "home").join(
+        sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").select(
+        "home", "b", "r_other", "hb", block_b, F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_points") - 1)).alias("block_a"))
+
+    def work(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        known = {b: (np.frombuffer(h, np.uint64), r) for b, h, r in zip(pivots["b"], pivots["hb"], pivots["r_other"], strict=True)}
+        out = []
+        for bs, h in zip(points["bs"], points["ha"], strict=True):
+            x = np.frombuffer(h, np.uint64)
+            for b in bs:
+                y, r_other = known[b]
+                same = _common(x, y)
+                out.append((b, r_other, same, len(x) + len(y) - same))
+        rows = points[kept].loc[points.index.repeat(points["bs"].map(len).astype(int))].reset_index(drop=True)
+        return rows.join(pd.DataFrame(out, columns=["b", "r_other", "same", "all"], index=rows.index))[names]
+
+    names = [*kept, "b", "r_other", "same", "all"]
+    kinds = dict(tested.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in kept], "b long, r_other double, same long, all long"])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+    return stored(found.withColumn("d", 1 - F.col("same") / F.col("all")), label)
+
+
 def jaccard_components(
     documents: DataFrame, percent: int = 75, width: int = 5, bands: int = 6, rows: int = 2,
 ) -> DataFrame:
@@ -294,8 +338,8 @@ def jaccard_components(
         """Whether the common and own shingles allow a link: |A & B| <= least common part, |A | B| >= both own parts and the largest common part."""
         return 100 * F.least(f"{x}.high", f"{y}.high") >= percent * (
             F.col(f"{x}.own") + F.col(f"{y}.own") + F.greatest(f"{x}.low", f"{y}.low"))
-    links = [reach.select("a", "b"), twins]
     parts = connected_components(reach.select("a", "b"), "reach")
+    links = [parts.where("id <> component").toDF("a", "b"), twins]
     labelled = regions.join(parts.withColumnRenamed("id", "region"), "region", "left").select(
         "id", "own", "common", "region", F.coalesce("component", "region").alias("component"))
 
@@ -330,9 +374,9 @@ def jaccard_components(
     least_d = 1 - most / (F.col("x.own") + F.col("x.low") + F.col("n_q") - most)
     tested = inner.join(sides, "home").where(
         (F.greatest(F.col("d_pq") - F.col("d_home"), least_d) <= F.col("q.radius") + r + _SLACK) & may_link("x", "q"))
-    moved = _distances(tested.select(
-        F.col("id").alias("a"), F.col("other").alias("b"), "home", "d_home", F.col("q.radius").alias("r_other"),
-        F.col("x.own").alias("own"), F.col("x.low").alias("common")), sets, "moved")
+    moved = _point_distances(tested.select(
+        F.col("id").alias("a"), F.col("other").alias("b"), "home", "d_home",
+        F.col("x.own").alias("own"), F.col("x.low").alias("common")), sides, regions, sets, "moved")
     links.append(moved.where(100 * F.col("same") >= percent * F.col("all")).select("a", "b"))
     edge = moved.where(F.col("d") <= F.col("r_other") + r + _SLACK).select(
         F.col("a").alias("id"), "home", F.col("b").alias("other"), "d_home", F.col("d").alias("d_other"), "own",
