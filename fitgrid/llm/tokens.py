@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 # are tokens that reach over the cuts made below, so such texts are encoded whole.
 _WHOLE = r"^[ \n]|^$|[ \n]([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 _TAIL = ".,;:!?*%$#&)"  # ASCII punctuation: never in one token with a letter or digit before it
-_CACHE_ENTRIES = 700_000
+_CACHE_ENTRIES = 400_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -33,7 +33,7 @@ def encoder(path: str) -> "WordEncoder":
 def forget_words() -> None:
     """Free what the worker's encoders know; for tasks of other kinds that follow in the same worker."""
     for known in _ENCODERS.values():
-        known.cache.clear()
+        known.forget()
 
 
 class WordEncoder:
@@ -46,8 +46,9 @@ class WordEncoder:
     its pieces; each piece that differs is looked up once, as stem and
     punctuation, and the ids of the texts are gathered by number. New words are
     encoded in long lines; the ids that begin with the separator show where each
-    word starts. Any other text goes through the tokenizer as it is. The cache is
-    emptied when full.
+    word starts. Any other text goes through the tokenizer as it is. What is known
+    is one Arrow array of words beside flat ids, a sixth of what strings in a dict
+    take; it is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -56,41 +57,51 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.forget()
         size = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.begins = {" ": np.array([n[:1] == "\u0120" for n in names]),
                        "\n": np.array([n[:1] == "\u010a" for n in names])}
 
+    def forget(self) -> None:
+        """Know no word but the empty one, which has no ids."""
+        self.words, self.ids, self.sizes = pa.array([""]), np.zeros(0, "<u4"), np.zeros(1, np.int32)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def _words(self, words: list[str], separator: str) -> None:
-        """Learn separator + word for words without white space."""
+    def _parts(self, words: list[str], separator: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of separator + word for words without white space, end to end, and how many each has."""
+        out = []
         for at in range(0, len(words), 10_000):
             part = words[at:at + 10_000]
             line = self.tokenizer.encode_batch_fast(
                 [separator + separator.join(part)], add_special_tokens=False)[0]
             ids = np.asarray(line.ids, "<u4")
-            starts = np.flatnonzero(self.begins[separator][ids]).tolist()
+            starts = np.flatnonzero(self.begins[separator][ids])
             if len(starts) == len(part):
-                data, ends = ids.tobytes(), [*starts[1:], len(ids)]
-                found = [data[4 * a:4 * b] for a, b in zip(starts, ends, strict=True)]
+                out.append((ids[starts[0]:], np.diff(starts, append=len(ids))))
             else:  # a vocabulary that marks words otherwise
-                found = self._whole([separator + w for w in part])
-            lead = "\n" if separator == "\n" else ""
-            self.cache.update(zip([lead + w for w in part] if lead else part, found, strict=True))
-
-    def _known(self, stems: list[str]) -> list[bytes]:
-        """Ids of pieces: " word" without its space, "\\nword" with its newline, a first word behind "\\r"; of nothing, none."""
-        new = [s for s in set(stems).difference(self.cache) if s]
-        first = [s for s in new if s[0] == "\r"]
-        self.cache.update(zip(first, self._whole([s[1:] for s in first]), strict=True))
-        self._words([s[1:] for s in new if s[0] == "\n"], "\n")
-        self._words([s for s in new if s[0] not in "\r\n"], " ")
-        self.cache[""] = b""
-        return list(map(self.cache.__getitem__, stems))
+                out.append(_flat(self._whole([separator + w for w in part])))
+        return out
+
+    def _known(self, stems: pa.Array) -> np.ndarray:
+        """Numbers, among the known words, of pieces: " word" without its space, "\\nword" with its newline, a first word behind "\\r"."""
+        at = pc.index_in(stems, value_set=self.words)
+        if at.null_count:
+            new = pc.unique(stems.filter(pc.is_null(at)))
+            first, line = pc.starts_with(new, "\r"), pc.starts_with(new, "\n")
+            kinds = [new.filter(x) for x in (first, line, pc.invert(pc.or_(first, line)))]
+            learned = [_flat(self._whole([s[1:] for s in kinds[0].to_pylist()])),
+                       *self._parts([s[1:] for s in kinds[1].to_pylist()], "\n"),
+                       *self._parts(kinds[2].to_pylist(), " ")]
+            new = pa.concat_arrays(kinds)
+            at = pc.coalesce(at, pc.add(pc.index_in(stems, value_set=new), pa.scalar(len(self.words), pa.int32())))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = np.concatenate([self.ids, *[ids for ids, _ in learned]])
+            self.sizes = np.concatenate([self.sizes, *[sizes for _, sizes in learned]]).astype(np.int32)
+        return np.asarray(at)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that may be cut, end to end, and how many each has."""
@@ -102,28 +113,28 @@ class WordEncoder:
         ends = pc.if_else(parted, pc.struct_field(pc.extract_regex(
             pieces.dictionary, "(?P<end>[" + re.escape(_TAIL) + "]*)$"), "end"), "").dictionary_encode()
         # an end is a first word of its own: it follows a letter, not a space
-        found = self._known(pc.if_else(parted, stems, pieces.dictionary).to_numpy(zero_copy_only=False).tolist())
-        tails = self._known(["\r" + e if e else "" for e in ends.dictionary.to_pylist()])
-        both = [b""] * (2 * len(found))
-        both[::2] = found
-        both[1::2] = map(tails.__getitem__, np.asarray(ends.indices).tolist())
-        sizes = np.fromiter(map(len, both), np.int64, len(both)).reshape(-1, 2).sum(axis=1) // 4
-        ids, per_piece = _gathered(np.frombuffer(b"".join(both), "<u4"), sizes, np.asarray(pieces.indices))
+        tails = pc.if_else(pc.equal(ends.dictionary, ""), "", pc.binary_join_element_wise("\r", ends.dictionary, ""))
+        at = self._known(pa.concat_arrays([pc.if_else(parted, stems, pieces.dictionary), tails]))  # looked up at once
+        both = np.empty((len(stems), 2), np.int64)
+        both[:, 0] = at[:len(stems)]
+        both[:, 1] = at[len(stems):][np.asarray(ends.indices)]
+        found, sizes = _gathered(self.ids, self.sizes, both.ravel())
+        ids, per_piece = _gathered(found, sizes.reshape(-1, 2).sum(axis=1, dtype=np.int64), np.asarray(pieces.indices))
         upto = np.concatenate(([0], np.cumsum(per_piece)))
         return ids, np.diff(upto[np.asarray(lists.offsets) - lists.offsets[0].as_py()])
 
     def ragged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, little-endian unsigned 32-bit, and how many each has; null is empty."""
-        if len(self.cache) > _CACHE_ENTRIES:
-            self.cache.clear()
+        if len(self.words) > _CACHE_ENTRIES:
+            self.forget()
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _WHOLE)
         for mark in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, mark))
         if not pc.any(whole).as_py():
             return self._cut(texts) if len(texts) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
-        rest = self._whole(texts.filter(whole).to_pylist())
-        ids, counts = [np.frombuffer(b"".join(rest), "<u4")], [np.asarray([len(x) // 4 for x in rest], np.int64)]
+        rest = _flat(self._whole(texts.filter(whole).to_pylist()))
+        ids, counts = [rest[0]], [rest[1]]
         if not pc.all(whole).as_py():
             for known, found in zip((ids, counts), self._cut(texts.filter(pc.invert(whole))), strict=True):
                 known.append(found)
@@ -139,10 +150,15 @@ class WordEncoder:
         return [data[b - 4 * n:b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
+def _flat(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids end to end, and how many each has."""
+    return np.frombuffer(b"".join(found), "<u4"), np.asarray([len(x) // 4 for x in found], np.int64)
+
+
 def _gathered(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``values`` (one of each of ``sizes``, end to end) that ``codes`` number, end to end, and their sizes."""
-    counts = sizes[codes]
-    begins = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(counts) - counts)
+    counts = sizes[codes].astype(np.int64)
+    begins = (np.cumsum(sizes, dtype=np.int64) - sizes)[codes] - (np.cumsum(counts) - counts)
     return values[np.repeat(begins, counts) + np.arange(counts.sum())], counts
 
 

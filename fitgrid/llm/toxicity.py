@@ -94,12 +94,10 @@ class SpanTagger:
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def tag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words, lengths = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            found = _TOKEN.findall((text or "").lower())
-            lengths[i] = len(found)
-            words += found
-        return marginals(self.emission(words), lengths, self.transitions), lengths
+        # text by text: the words of all texts together are many times their numbers
+        told = [self.emission(_TOKEN.findall((text or "").lower())) for text in texts]
+        lengths = np.asarray([len(x) for x in told], np.int64)
+        return marginals(np.concatenate([np.zeros(0), *told]), lengths, self.transitions), lengths
 
     def summary(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Per document: log-odds of its surest token, and how many tokens are likely toxic."""
@@ -400,7 +398,7 @@ def score_documents(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_words()
-        for batch, texts in text_batches(batches, "__text"):
+        for batch, texts in text_batches(batches, "__text", 2_000_000):
             p, lengths = tagger.tag(texts)
             score = tagger.score(p, lengths)
             ends = np.cumsum(lengths)
