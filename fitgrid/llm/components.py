@@ -17,19 +17,19 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
     the logarithm of the longest chain. Each round is written once to the shared
     folder, and one row of it reaches the driver: whether an id is not yet in a
     star. A hub's links are summed before they are shuffled, and its join can be
-    split.
+    split. A round names the links four times, however they are made: both ends
+    of a link are opened from one row, since each further copy of the plan is
+    planned and held by the driver.
     """
     edges = _ordered(links.select(F.col("a").cast("long"), F.col("b").cast("long")))
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _ordered(both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        lowest = _both_ways(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = _ordered(_both_ways(edges).where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # every row names the larger id first: b > a >= m
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a")
-        edges = stored(_ordered(
-            small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(lowest.select("a", F.col("m").alias("b")))), label)
+        small = large.join(lowest, "a").select(F.explode(F.array(
+            F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("edge"))
+        edges = stored(_ordered(small.select("edge.*")), label)
         if _stars(edges):
             break
     members = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -44,5 +44,10 @@ def _stars(edges: DataFrame) -> bool:
     return open_ids.agg(F.count("*")).first()[0] == 0
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("edge")).select("edge.*")
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").distinct()

@@ -362,11 +362,11 @@ def jaccard_components(
         F.col("d") <= F.col("ra") + F.col("rb") + r + _SLACK).select("a", "b", F.col("d").alias("d_pq"), F.col("same").alias("with_other"), "ra", "rb")
     close = stored(close.where("ra > 0 or rb > 0"), "close")
 
-    # 5. boundary points
-    sides = close.select(F.col("a").alias("home"), F.col("b").alias("other"), "d_pq", "with_other").unionByName(
+    # 5. boundary points; the sides are named four times below
+    sides = stored(close.select(F.col("a").alias("home"), F.col("b").alias("other"), "d_pq", "with_other").unionByName(
         close.select(F.col("b").alias("home"), F.col("a").alias("other"), "d_pq", "with_other")).join(
         sets.select(F.col("id").alias("other"), F.col("n").alias("n_q"), (F.col("n") - F.col("n_alone")).alias("c_q")), "other").join(
-        radius.select(F.col("region").alias("other"), F.struct("own", "low", "high", "radius").alias("q")), "other")
+        radius.select(F.col("region").alias("other"), F.struct("own", "low", "high", "radius").alias("q")), "other"), "sides")
     inner = regions.select("id", F.col("region").alias("home"), F.col("d").alias("d_home"), "with_home", F.struct(
         "own", F.col("common").alias("low"), F.col("common").alias("high")).alias("x"))
     # |x & q| is at most |p & q| and what x and q can share besides p
@@ -394,7 +394,7 @@ def jaccard_components(
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    found = connected_components(every, "links")
+    found = connected_components(stored(every, "every"), "links")
     # the smallest document id of a component; ids of points that are no documents do not count
     labels = numbered.select("digest", "id", F.col("point")).join(
         found.select(F.col("id").alias("point"), "component"), "point", "left").select(
