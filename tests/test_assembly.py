@@ -61,3 +61,8 @@ def test_only_axes_the_rules_left_open_are_put_to_the_model(spark, parts, monkey
     monkeypatch.setattr(facts, "axis_judgements", seen)
     rows = QUERIES["evaluation_assembly"](spark, parts).collect()
     assert sorted(asked) == sorted((r.document_id, r.axis_key) for r in rows if r.method != "rule") and asked
+
+
+def test_texts_are_read_once_for_the_rules(spark, parts):
+    plan = QUERIES["evaluation_assembly"](spark, parts)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan.lower() and "週2日出社" not in plan
